@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate
+from touchline.llm import decontaminate, quality, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
