@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate, quality, toxicity
+from touchline.llm import decontaminate, quality, sharding, toxicity, vafile
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_vafile": vafile.op4_vafile,
+    "op6_sharding": sharding.op6_sharding,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_vafile": vafile.OP4_SQL,
+    "op6_sharding": sharding.OP6_SQL,
+}
