@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate, quality, sharding, toxicity, vafile
+from touchline.llm import chat, decontaminate, quality, sharding, toxicity, vafile, warc
 
 QUERIES = {
+    "op1_chat_rotation": chat.op1_chat_rotation,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_vafile": vafile.op4_vafile,
     "op6_sharding": sharding.op6_sharding,
+    "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_rotation": chat.OP1_SQL,
     "op4_vafile": vafile.OP4_SQL,
     "op6_sharding": sharding.OP6_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
