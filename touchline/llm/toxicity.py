@@ -213,7 +213,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     given = labels.select(labels["doc_id"], labels["toxic"]).na.drop().groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", common.crc_fold("doc_id"))
     texts = common.only(docs, "doc_id", "text").filter(F.col("text").isNotNull())
-    counted = texts.filter(common.crc_fold("doc_id").isin(*COUNT_FOLDS)).join(given.filter(F.col("fold").isin(*COUNT_FOLDS)), "doc_id")
+    counted = texts.filter(common.crc_fold("doc_id").isin(*COUNT_FOLDS)).join(given.filter(F.col("fold").isin(*COUNT_FOLDS)).hint("merge"), "doc_id")
     by_gram, by_ctx, totals = fit_tables(counted)
     shipped = spark.sparkContext.broadcast((by_gram, by_ctx))  # CELLS cells of two bytes, twice
     shape = "x0 double, x1 double, x2 double, x3 double"
