@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from touchline.llm import bpe, chat, decontaminate, quality, sharding, toxicity, vafile, warc
+from touchline.llm import bpe, chat, decontaminate, quality, sharding, suffixes, toxicity, vafile, warc
 
 QUERIES = {
     "op1_chat_rotation": chat.op1_chat_rotation,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_bpe": bpe.op3_bpe,
     "op4_vafile": vafile.op4_vafile,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
