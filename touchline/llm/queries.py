@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import bpe, chat, decontaminate, quality, sharding, suffixes, toxicity, vafile, warc
+from touchline.llm import bpe, chat, decontaminate, jaccard, quality, sharding, suffixes, toxicity, vafile, warc
 
 QUERIES = {
     "op1_chat_rotation": chat.op1_chat_rotation,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_vafile": vafile.op4_vafile,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_sharding": sharding.op6_sharding,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
