@@ -17,6 +17,9 @@ and the text before them far enough to the left (L), L + R >= length.
  3. In each group of equal grams, common prefixes are joined from the longest down; smaller sets
     are inserted into larger ones in the order of their left contexts, where only neighbours
     can improve on each other. So the longest L and R of every suffix take m log m steps.
+ 4. Groups of more than `GROUP_MOST` representatives (a passage that a large part of all documents
+    share, cut at its edges by different neighbours) are not gathered at all: each of their windows is
+    hashed, and a window is repeated if its hash is, which is an aggregation over evenly spread keys.
 
 Windows are judged on the input. Defined results: null or empty texts have no bytes; texts shorter
 than `length` keep all; repeated rows repeat each other's windows; an empty table gives no rows; other
@@ -42,6 +45,7 @@ GRAM = 32
 SEGMENT = 1 << 20
 RUN_BYTES = 1 << 20
 PART_BYTES = 8 << 20
+GROUP_MOST = 4096
 _AT = np.uint64((1 << 22) - 1)
 
 
@@ -277,6 +281,23 @@ def _make_runs(parts: int, length: int):
     return run
 
 
+def _window_hashes(length: int):
+    """(h, w, rk, at): every window of the representatives, with a hash of its bytes."""
+
+    def run(batches):
+        for batch in batches:
+            raw, offs = tb.raw_texts(batch.column("text"))
+            for i, (rk, reps) in enumerate(zip(batch.column("rk").to_pylist(), batch.column("reps").to_pylist(), strict=True)):
+                for rep in reps:
+                    at, low, high = rep["place"] >> 20, (rep["place"] >> 10) & 1023, rep["place"] & 1023
+                    first, n = at - high, high - low + 1
+                    sums = tb.prefix_sums(raw[offs[i] + first : offs[i] + at - low + length])
+                    w = tb.span_hashes(sums, np.arange(n), np.arange(n) + length).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep["h"])), pa.array(w), pa.array(np.full(n, rk)), pa.array(np.arange(first, first + n))], names=["h", "w", "rk", "at"])
+
+    return run
+
+
 def _merge(length: int):
     def run(_, table):
         runs = []
@@ -321,22 +342,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("rk", F.xxhash64(docs["doc_id"], docs["text"]))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_most: int = GROUP_MOST) -> DataFrame:
     """(rk, spans): byte spans [from, to) of repeated strings, for each row that has any; they may overlap."""
     texts = _keyed(common.only(docs, "doc_id", "text")).filter(F.octet_length("text") >= length).select("rk", "text")
     every = common.materialize(texts.mapInArrow(_find(length, gram), "h long, f long, rk long, place long"), "anchors")
     shared = every.groupBy("h").agg(F.count("*").alias("n"), (F.min("f") != F.max("f")).alias("differ")).filter(F.col("n") > 1).select("h", "differ")
-    some = common.materialize(every.join(shared, "h"), "shared-anchors")
+    # written first, so that the join may split a frequent h
+    some = common.materialize(every.join(common.materialize(shared, "shared-grams"), "h"), "shared-anchors")
     groups = some.groupBy("h", "f").agg(F.count("*").alias("c"), F.first("differ").alias("differ"), F.min(F.struct("rk", "place")).alias("rep"))
     groups = common.materialize(groups.select("h", "f", "c", "differ", "rep.rk", "rep.place"), "anchor-groups")
     at, low, high = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023)), F.col("place").bitwiseAND(F.lit(1023))
     whole = some.join(groups.filter(F.col("c") > 1).select("h", "f"), ["h", "f"], "left_semi").select("rk", (at - high).alias("from"), (at - low + length).alias("to"))
     reps = groups.filter("differ")
-    parts = max(12, -(-reps.count() * (2 * length) // PART_BYTES))
-    asked = reps.groupBy("rk").agg(F.collect_list(F.struct("h", "f", "c", "place")).alias("reps"))
-    runs = texts.join(asked.hint("merge"), "rk").mapInArrow(_make_runs(parts, length), f"part int, {_RUN_FIELDS}")
-    partly = runs.groupBy("part").applyInArrow(_merge(length), "rk long, from long, to long")
-    return whole.unionByName(partly).groupBy("rk").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    large = common.materialize(reps.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > group_most).select("h"), "large-groups")
+    few, many = reps, None
+    if not large.isEmpty():
+        few, many = reps.join(large, "h", "left_anti"), reps.join(large, "h", "left_semi")
+    gathered = lambda r: texts.join(r.groupBy("rk").agg(F.collect_list(F.struct("h", "f", "c", "place")).alias("reps")).hint("merge"), "rk")
+    parts = max(12, -(-few.count() * (2 * length) // PART_BYTES))
+    runs = gathered(few).mapInArrow(_make_runs(parts, length), f"part int, {_RUN_FIELDS}")
+    spans = whole.unionByName(runs.groupBy("part").applyInArrow(_merge(length), "rk long, from long, to long"))
+    if many is not None:
+        windows = common.materialize(gathered(many).mapInArrow(_window_hashes(length), "h long, w long, rk long, at long"), "windows")
+        # repeated rows give a window more than once; only different places count
+        twice = windows.groupBy("h", "w").agg((F.min(F.struct("rk", "at")) != F.max(F.struct("rk", "at"))).alias("differ")).filter("differ").select("h", "w")
+        spans = spans.unionByName(windows.join(twice, ["h", "w"], "left_semi").select("rk", F.col("at").alias("from"), (F.col("at") + length).alias("to")))
+    return spans.groupBy("rk").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
 def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -385,13 +416,13 @@ def _apply(names: list[str], digest: bool):
     return run
 
 
-def _with_spans(docs: DataFrame, keep: list[str], length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, keep: list[str], length: int, group_most: int = GROUP_MOST) -> DataFrame:
     rows = _keyed(docs.select(*[docs[c] for c in dict.fromkeys([*keep, "doc_id", "text"])]))
-    return rows.join(repeated(docs, length).hint("merge"), "rk", "left").drop("rk")
+    return rows.join(repeated(docs, length, group_most=group_most).hint("merge"), "rk", "left").drop("rk")
 
 
-def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    rows = _with_spans(docs, ["doc_id"], length)
+def digest(docs: DataFrame, length: int = LENGTH, group_most: int = GROUP_MOST) -> DataFrame:
+    rows = _with_spans(docs, ["doc_id"], length, group_most)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_apply(["doc_id"], True), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
