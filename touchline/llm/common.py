@@ -16,6 +16,8 @@ import touchline.llm
 cloudpickle.register_pickle_by_value(touchline.llm)
 
 HELD_OUT_FOLDS = 5
+#: Columns that an operator adds for itself start so; tables bring no such names.
+OWN = "_touchline_"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

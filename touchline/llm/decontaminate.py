@@ -91,35 +91,37 @@ def _runs(covered: list[int]) -> list[tuple[int, int]]:
 _SPAN = "array<struct<first:int,last:int,from:int,to:int>>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW, block_chars: int = BLOCK_CHARS, prefix: str = "") -> DataFrame:
     """The columns `keep` (which may name text), n_words, hits and items of every row of docs.
 
     hits: maximal runs of hit words, as word numbers [first, last) and byte offsets [from, to) of
-    the text. items: ids, as text, of the benchmark items with an occurring window.
+    the text. items: ids, as text, of the benchmark items with an occurring window. prefix: put before
+    these three names, where the table has such columns of its own.
     """
+    made = [f"{prefix}{c}" for c in ("n_words", "hits", "items")]
     spark = docs.sparkSession
     chars = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(chars) // block_chars))
     items = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("null")).alias("i"), benchmark["text"].alias("t"))
     rest = list(dict.fromkeys([*keep, "text"]))
-    out = docs.select(*[docs[c] for c in rest], F.lit(0).alias("n_words"), F.expr(f"cast(array() as {_SPAN})").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    out = docs.select(*[docs[c] for c in rest], F.lit(0).alias(made[0]), F.expr(f"cast(array() as {_SPAN})").alias(made[1]), F.expr("cast(array() as array<string>)").alias(made[2]))
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
         rows = part.collect()  # at most about block_chars characters
         windows = _windows([r.t for r in rows], [r.i for r in rows], n)
         shipped = spark.sparkContext.broadcast((_index(windows), windows))
-        fields = [f for f in out.schema.fields if blocks > b + 1 or f.name in keep or f.name in ("n_words", "hits", "items")]
+        fields = [f for f in out.schema.fields if blocks > b + 1 or f.name in keep or f.name in made]
         schema = type(out.schema)(fields)
-        out = out.mapInArrow(_scanner(shipped, [f.name for f in fields], b > 0), schema)
+        out = out.mapInArrow(_scanner(shipped, [f.name for f in fields], made, b > 0), schema)
     return out
 
 
-def _scanner(shipped, names, again):
+def _scanner(shipped, names, made, again):
     def scan(batches):
         index, windows = shipped.value
         for batch in batches:
             n_words, hits, items = [], [], []
-            old = [(x.as_py(), y.as_py()) for x, y in zip(batch.column("hits"), batch.column("items"), strict=True)] if again else None
+            old = [(x.as_py(), y.as_py()) for x, y in zip(batch.column(made[1]), batch.column(made[2]), strict=True)] if again else None
             for lo, hi, buf, offs in tb.slices(batch.column("text")):
                 counts, found, starts, ends, first = _scan_slice(buf, offs, index, windows)
                 n_words.extend(counts.tolist())
@@ -133,9 +135,9 @@ def _scanner(shipped, names, again):
                     at = int(offs[row])
                     hits.append([{"first": a - base, "last": z - base, "from": int(starts[a]) - at, "to": int(ends[z - 1]) - at} for a, z in _runs(sorted(covered))])
                     items.append(sorted(ids))
-            made = {"n_words": pa.array(n_words, pa.int32()), "items": pa.array(items, pa.list_(pa.string()))}
-            made["hits"] = pa.array(hits, pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "last", "from", "to")])))
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names=names)
+            spans = pa.array(hits, pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "last", "from", "to")])))
+            own = dict(zip(made, (pa.array(n_words, pa.int32()), spans, pa.array(items, pa.list_(pa.string()))), strict=True))
+            yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names=names)
 
     return scan
 
@@ -154,29 +156,30 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _cut(batches):
-    for batch in batches:
-        out = []
-        for text, hits in zip(batch.column("text"), batch.column("hits"), strict=True):
-            spans, text = hits.as_py(), text.as_py()
-            if spans:
-                raw, kept, at = text.encode(), [], 0
-                for s in spans:
-                    kept.append(raw[at : s["from"]])
-                    at = s["to"]
-                text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
-            out.append(text)
-        cols = {"text": pa.array(out, pa.string())}
-        names = [c for c in batch.schema.names if c not in ("hits", "items", "n_words")]
-        yield pa.RecordBatch.from_arrays([cols.get(c, batch.column(c)) for c in names], names=names)
+def _cut(names: list[str]):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, hits in zip(batch.column("text"), batch.column(f"{common.OWN}hits"), strict=True):
+                spans, text = hits.as_py(), text.as_py()
+                if spans:
+                    raw, kept, at = text.encode(), [], 0
+                    for s in spans:
+                        kept.append(raw[at : s["from"]])
+                        at = s["to"]
+                    text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+
+    return run
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans") -> DataFrame:
     """docs without the hit spans (mode "spans") or without the contaminated rows ("documents")."""
-    found = find(docs, benchmark, docs.columns)
+    found = find(docs, benchmark, docs.columns, prefix=common.OWN)
     if mode == "documents":
-        return found.filter(F.size("hits") == 0).select(*docs.columns)
-    cut = found.mapInArrow(_cut, docs.schema)
+        return found.filter(F.size(f"{common.OWN}hits") == 0).select(*docs.columns)
+    cut = found.mapInArrow(_cut(docs.columns), docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

@@ -366,8 +366,8 @@ def _by_bucket(batches):
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest id (rows with null ids, and repeats of an id, stay only where they are alone or first)."""
     joined = Join(docs).result().select("doc_id", "component_id").distinct()
-    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{common.OWN}id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[f"{common.OWN}id"]), "left_semi")
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

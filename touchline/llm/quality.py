@@ -158,13 +158,13 @@ def _score_rows(shipped, names):
                 row, col, val = inputs(buf, offs, n_chars[lo:hi])
                 parts.append(raw_scores(row, col, val, hi - lo, w0, w, v))
             x = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=[*names, f"{common.OWN}score"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and score, for every row. labels: doc_id, quality."""
+def score(docs: DataFrame, labels: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and the score, under `name`, for every row. labels: doc_id, quality."""
     spark = docs.sparkSession
     given = labels.select(labels["doc_id"], labels["quality"]).na.drop().groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     few = given.filter(common.crc_fold("doc_id") != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
@@ -174,15 +174,15 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     y = got.column("quality").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
-        return docs.select(*[docs[c] for c in keep], F.lit(float(share)).alias("score"))
+        return docs.select(*[docs[c] for c in keep], F.lit(float(share)).alias(name))
     rows = [(np.frombuffer(c.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32).astype(float)) for c, v in zip(got.column("col"), got.column("val"), strict=True)]
     order = np.lexsort((y, [len(c) for c, _ in rows], [float(v.sum()) for _, v in rows]))  # whatever order the rows came in
     w0, w, v = fit([rows[i] for i in order], y[order])
     shipped = spark.sparkContext.broadcast((w0, w.astype(np.float32), v.astype(np.float32)))
-    wide = docs.select(*[docs[c] for c in keep if c not in ("text", "n_chars")], *([docs["text"].alias("kept_text")] if "text" in keep else []), *([docs["n_chars"].alias("kept_chars")] if "n_chars" in keep else []), docs["text"], length.alias("n_chars"))
-    names = [{"text": "kept_text", "n_chars": "kept_chars"}.get(c, c) for c in keep]
-    out = wide.mapInArrow(_score_rows(shipped, names), ", ".join(f"`{c}` {wide.schema[c].dataType.simpleString()}" for c in names) + ", score double")
-    return out.toDF(*keep, "score")
+    wide = docs.select(*[docs[c] for c in keep if c not in ("text", "n_chars")], *([docs["text"].alias(f"{common.OWN}text")] if "text" in keep else []), *([docs["n_chars"].alias(f"{common.OWN}chars")] if "n_chars" in keep else []), docs["text"], length.alias("n_chars"))
+    names = [{"text": f"{common.OWN}text", "n_chars": f"{common.OWN}chars"}.get(c, c) for c in keep]
+    out = wide.mapInArrow(_score_rows(shipped, names), ", ".join(f"`{c}` {wide.schema[c].dataType.simpleString()}" for c in names) + f", {common.OWN}score double")
+    return out.toDF(*keep, name)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

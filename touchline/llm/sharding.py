@@ -28,6 +28,7 @@ BITS = 60
 ROUND_BITS = 20
 CELLS = 1 << ROUND_BITS
 LIMIT_BYTES = 16 << 20
+_H = f"{common.OWN}hash"
 
 
 def key_hash(col) -> object:
@@ -99,24 +100,19 @@ def assign(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "t
     leaves = directory(docs.select(key_hash(docs[key]).alias("h"), sizes.alias("n_bytes")), limit)
     depths = sorted({d for d, _ in leaves})
     spark = docs.sparkSession
-    wide = docs.select(*[docs[c] for c in keep], key_hash(docs[key]).alias("h"), sizes.alias("n_bytes"))
+    wide = docs.select(*[docs[c] for c in keep], key_hash(docs[key]).alias(_H), sizes.alias("n_bytes"))
     if not leaves:
         return wide.select(*keep, F.lit("").alias("shard"), F.lit(0).alias("depth"), "n_bytes")
-    prefixes = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", BITS - d).alias("prefix")) for d in depths]) if len(depths) > 1 else None
-    if prefixes is None:
-        d = depths[0]
-        over = [p for (_, p), s in leaves.items() if s > limit]
-        shard = F.lpad(F.bin(F.shiftright("h", BITS - d)), d, "0") if d else F.lit("")
-        named = wide.select(*keep, shard.alias("shard"), F.lit(d).alias("depth"), "n_bytes", (F.lit(bool(over)) if not d else F.shiftright("h", BITS - d).isin(over or [-1])).alias("overflows"))
-        return _paged(named, keep, limit) if over else named.drop("overflows")
-    # The directory: every prefix of the shallowest depth leads to the depths below it that occur.
-    own = spark.createDataFrame(pa.table({"depth": pa.array([d for d, _ in leaves], pa.int32()), "prefix": pa.array([p for _, p in leaves], pa.int64()), "overflows": pa.array([s > limit for s in leaves.values()])}))
-    tried = None
+    # the directory, depth by depth: a row's leaf is the one of its prefixes that is listed
+    own = spark.createDataFrame(pa.table({"d": pa.array([d for d, _ in leaves], pa.int32()), "p": pa.array([p for _, p in leaves], pa.int64()), "o": pa.array([s > limit for s in leaves.values()])}))
+    leaf = None
     for d in depths:
-        here = F.broadcast(own.filter(F.col("depth") == d).select(F.col("prefix").alias(f"p{d}"), F.col("overflows").alias(f"o{d}")))
-        wide = wide.join(here, F.shiftright(wide["h"], BITS - d) == F.col(f"p{d}"), "left")
-        tried = F.when(F.col(f"p{d}").isNotNull(), F.struct(F.lit(d).alias("depth"), F.lpad(F.bin(f"p{d}"), d, "0").alias("shard"), F.col(f"o{d}").alias("overflows"))) if tried is None else tried.when(F.col(f"p{d}").isNotNull(), F.struct(F.lit(d).alias("depth"), F.lpad(F.bin(f"p{d}"), d, "0").alias("shard"), F.col(f"o{d}").alias("overflows")))
-    named = wide.withColumn("leaf", tried).select(*keep, "leaf.shard", "leaf.depth", "n_bytes", "leaf.overflows")
+        prefix, over = f"{common.OWN}p{d}", f"{common.OWN}o{d}"
+        here = F.broadcast(own.filter(F.col("d") == d).select(F.col("p").alias(prefix), F.col("o").alias(over)))
+        wide = wide.join(here, F.shiftright(wide[_H], BITS - d) == here[prefix], "left")
+        found = F.struct(F.lit(d).alias("depth"), (F.lpad(F.bin(prefix), d, "0") if d else F.lit("")).alias("shard"), F.col(over).alias("overflows"))
+        leaf = F.when(F.col(prefix).isNotNull(), found) if leaf is None else leaf.when(F.col(prefix).isNotNull(), found)
+    named = wide.withColumn(f"{common.OWN}leaf", leaf).select(*keep, *[F.col(f"{common.OWN}leaf.{c}").alias(c) for c in ("shard", "depth")], "n_bytes", F.col(f"{common.OWN}leaf.overflows").alias("overflows"))
     return _paged(named, keep, limit) if any(s > limit for s in leaves.values()) else named.drop("overflows")
 
 

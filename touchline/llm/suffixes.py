@@ -47,6 +47,7 @@ RUN_BYTES = 1 << 20
 PART_BYTES = 8 << 20
 GROUP_MOST = 4096
 _AT = np.uint64((1 << 22) - 1)
+_KEY, _SPANS = f"{common.OWN}rk", f"{common.OWN}spans"
 
 
 def _smallest(v: np.ndarray, width: int) -> np.ndarray:
@@ -338,8 +339,8 @@ def _merge(length: int):
 # -- the whole ---------------------------------------------------------------------------------------
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rk", F.xxhash64(docs["doc_id"], docs["text"]))
+def _keyed(docs: DataFrame, name: str = "rk") -> DataFrame:
+    return docs.withColumn(name, F.xxhash64(docs["doc_id"], docs["text"]))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_most: int = GROUP_MOST) -> DataFrame:
@@ -385,7 +386,7 @@ def _apply(names: list[str], digest: bool):
     def run(batches):
         for batch in batches:
             raw, offs = tb.raw_texts(batch.column("text"))
-            column = batch.column("spans")
+            column = batch.column(_SPANS)
             at = column.offsets.to_numpy()
             lows, highs = (column.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             sizes, removed, counts, shas, kept_texts = [], [], [], [], []
@@ -417,8 +418,9 @@ def _apply(names: list[str], digest: bool):
 
 
 def _with_spans(docs: DataFrame, keep: list[str], length: int, group_most: int = GROUP_MOST) -> DataFrame:
-    rows = _keyed(docs.select(*[docs[c] for c in dict.fromkeys([*keep, "doc_id", "text"])]))
-    return rows.join(repeated(docs, length, group_most=group_most).hint("merge"), "rk", "left").drop("rk")
+    rows = _keyed(docs.select(*[docs[c] for c in dict.fromkeys([*keep, "doc_id", "text"])]), _KEY)
+    found = repeated(docs, length, group_most=group_most).toDF(_KEY, _SPANS)
+    return rows.join(found.hint("merge"), _KEY, "left").drop(_KEY)
 
 
 def digest(docs: DataFrame, length: int = LENGTH, group_most: int = GROUP_MOST) -> DataFrame:

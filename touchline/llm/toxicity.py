@@ -39,6 +39,7 @@ CELLS = 1 << 22
 CALIBRATION_ROWS = 12_000
 COUNT_FOLDS, CALIBRATION_FOLD = (1, 2, 3), 4
 _FLUSH = 1 << 21
+X = tuple(f"{common.OWN}x{k}" for k in range(4))
 
 
 def spell(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +189,7 @@ def _evidence_rows(shipped, names):
         for batch in batches:
             parts = [evidence(buf, offs, by_gram, by_ctx) for _, _, buf, offs in tb.slices(batch.column("text"))]
             x = np.concatenate(parts) if parts else np.zeros((0, 4))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x[:, k]) for k in range(4))], names=[*names, *(f"x{k}" for k in range(4))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x[:, k]) for k in range(4))], names=[*names, *X])
 
     return run
 
@@ -216,11 +217,11 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     counted = texts.filter(common.crc_fold("doc_id").isin(*COUNT_FOLDS)).join(given.filter(F.col("fold").isin(*COUNT_FOLDS)).hint("merge"), "doc_id")
     by_gram, by_ctx, totals = fit_tables(counted)
     shipped = spark.sparkContext.broadcast((by_gram, by_ctx))  # CELLS cells of two bytes, twice
-    shape = "x0 double, x1 double, x2 double, x3 double"
+    shape = ", ".join(f"{c} double" for c in X)
     few = given.filter(F.col("fold") == CALIBRATION_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
     sample = texts.join(F.broadcast(few.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
     got = sample.mapInArrow(_evidence_rows(shipped, ["toxic"]), f"toxic int, {shape}").toPandas()
-    x, y = got[["x0", "x1", "x2", "x3"]].to_numpy(float), got["toxic"].to_numpy(float)
+    x, y = got[list(X)].to_numpy(float), got["toxic"].to_numpy(float)
     out = docs.select(*[docs[c] for c in dict.fromkeys([*keep, "text"])]).mapInArrow(
         _evidence_rows(shipped, keep), ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {shape}"
     )
@@ -230,7 +231,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     mean, scale, w = logistic(x, y)
     logit = F.lit(float(w[-1]))
     for k in range(4):
-        logit = logit + (F.col(f"x{k}") - float(mean[k])) / float(scale[k]) * float(w[k])
+        logit = logit + (F.col(X[k]) - float(mean[k])) / float(scale[k]) * float(w[k])
     return out.select(*keep, (1 / (1 + F.exp(-logit))).alias("score"))
 
 
