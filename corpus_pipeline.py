@@ -18,8 +18,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is under KEEP_SCORE."""
-    scored = quality.score(docs, common.table(spark, sf_dir, "labels"), docs.columns)
-    return scored.filter(F.col("score") >= KEEP_SCORE).drop("score")
+    score = f"{common.OWN}score"
+    scored = quality.score(docs, common.table(spark, sf_dir, "labels"), docs.columns, score)
+    return scored.filter(F.col(score) >= KEEP_SCORE).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
