@@ -8,12 +8,16 @@ sets link when 100 * |intersection| >= 80 * |union|; the result is the component
  2. Linked sets share one of their n - ceil(0.8 n) + 1 first shingles under any one order of all
     shingles. The order used is rare first, by a sketch of `CELLS` counters over all documents (its size
     does not depend on the input; the order only decides how long buckets are, never what is found).
- 3. Buckets of sets that share such a shingle are first linked to their smallest member, where
-    that holds; what is connected by then needs no further comparison.
- 4. Buckets that still hold different components are searched: their count vectors form an
-    R-tree, whose boxes (and points) bound the intersection by the sum of the smaller coordinates; pairs
-    of different components that survive the bound are compared exactly. Buckets of more than `BLOCK`
-    sets are searched in pairs of blocks, each a group of its own.
+ 3. In every bucket of sets that share such a shingle, all are compared with the most central
+    one (that with most company in all its buckets: among copies of one text, mostly the text itself).
+    Where components still meet in a bucket, their most central members are compared in the same way.
+    What is connected by then needs no further comparison.
+ 4. Buckets that still hold different components are gathered by the smallest of their components,
+    so that a pair is met about once. The count vectors of such a group form an R-tree, whose boxes
+    (and points) bound the intersection by the sum of the smaller coordinates; pairs of different
+    components that survive the bound are compared exactly. Members of the component that most of the
+    group belongs to are not searched against each other. Groups of more than `BLOCK` sets are searched
+    in pairs of blocks.
  5. Components by alternating stars over all links.
 
 Defined results: null and empty texts, and texts without words, have empty sets and are their own
@@ -36,7 +40,8 @@ from touchline.llm import textbytes as tb
 from touchline.llm.components import components
 
 SHINGLE = 5
-GROUPS = 64
+GROUPS = 256
+ROUNDS = 3
 CELLS = 1 << 21
 _CHUNK = 1 << 15
 BLOCK = 4096
@@ -79,7 +84,7 @@ def set_hashes(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def count_vectors(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    group = (value >> np.uint64(58)).astype(np.int64)
+    group = (value >> np.uint64(56)).astype(np.int64)
     return np.bincount(row * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
 
 
@@ -107,9 +112,9 @@ def _features(batches):
             counts, key = set_hashes(row, value, hi - lo)
             total += np.bincount(cell(value), minlength=CELLS).astype(np.uint32)
             cv = count_vectors(row, value, hi - lo)
-            packed = cv.astype(np.uint16).tobytes()
-            wide = cv.max(1, initial=0) > 65535
-            cvs = [None if wide[i] else packed[i * 2 * GROUPS : (i + 1) * 2 * GROUPS] for i in range(hi - lo)]
+            packed = cv.astype(np.uint8).tobytes()
+            wide = cv.max(1, initial=0) > 255
+            cvs = [None if wide[i] else packed[i * GROUPS : (i + 1) * GROUPS] for i in range(hi - lo)]
             none = pa.nulls(hi - lo, pa.int32())
             ids = batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, batch.column("rk").slice(lo, hi - lo), pa.array(counts, pa.int32()), pa.array(key), pa.array(cvs, pa.binary()), none, pa.nulls(hi - lo, pa.binary())], schema=_FEATURES)
@@ -206,11 +211,11 @@ class CountTree:
 
 
 def _vectors(column, sizes: np.ndarray) -> np.ndarray:
-    """Count vectors; a set without one (over 65535 in a group) may have all its shingles in any group."""
-    out = np.zeros((len(sizes), GROUPS), np.int64)
+    """Count vectors; a set without one (over 255 in a group) may have all its shingles in any group."""
+    out = np.zeros((len(sizes), GROUPS), np.int32)
     for i, x in enumerate(column):
         raw = x.as_py()
-        out[i] = np.frombuffer(raw, np.uint16) if raw is not None else sizes[i]
+        out[i] = np.frombuffer(raw, np.uint8) if raw is not None else sizes[i]
     return out
 
 
@@ -223,24 +228,37 @@ def _bounded(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
 
-def _search_buckets(table):
-    """Pairs of sets of one bucket (or of two of its blocks) that lie in different components and may link."""
-    k, label, n = (table.column(c).to_numpy() for c in ("k", "label", "n"))
-    side = table.column("side").to_numpy()
+def _search_group(table):
+    """Pairs of sets of one group (or of two of its blocks) that lie in different components and may link."""
+    k, label, n, side = (table.column(c).to_numpy() for c in ("k", "label", "n", "side"))
     n = n.astype(np.int64)
+    kinds, counts = np.unique(label, return_counts=True)
+    minor = label != kinds[counts.argmax()]
+    left, right = side != 2, side != 1  # 0: a block with itself; 1 and 2: one of two blocks
     points = _vectors(table.column("cv"), n)
-    left = np.flatnonzero(side != 1)  # 0: both sides (a block with itself), 1 or 2: one of two blocks
-    right = np.flatnonzero(side != 2)
-    found = []
-    if len(left) and len(right):
-        tree = CountTree(points, n, right)
-        for i in left:
+    found: list[list[np.ndarray]] = [[], []]
+    waiting = 0
+    # pairs inside the largest component are not asked for, so one side of every pair is minor
+    for asking, among in ((left & minor, right), (left & ~minor, right & minor)):
+        if not asking.any() or not among.any():
+            continue
+        tree = CountTree(points, n, np.flatnonzero(among))
+        for i in np.flatnonzero(asking):
             got = tree.search(points[i], int(n[i]), points, n)
             got = got[label[got] != label[i]]
-            if len(got):
-                found.append(np.stack([np.minimum(k[got], k[i]), np.maximum(k[got], k[i])]))
-    both = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+            if side[i] == 0:  # met from both ends: kept from one
+                got = got[~minor[got] | (k[got] > k[i])] if minor[i] else got[:0]
+            found[0].append(np.minimum(k[got], k[i]))
+            found[1].append(np.maximum(k[got], k[i]))
+            waiting += len(got)
+            if waiting > 1 << 16:
+                yield _pairs(found)
+                found, waiting = [[], []], 0
+    yield _pairs(found)
+
+
+def _pairs(found):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in found], names=["a", "b"])
 
 
 def _one_text(batches):
@@ -294,11 +312,19 @@ class Join:
         self.sets = common.materialize(sets, "distinct-sets")
 
     def buckets(self) -> DataFrame:
+        """(sig, k, w): members of buckets of two sets or more; w is the company that a set has in all its buckets."""
         shipped = self.spark.sparkContext.broadcast(self.sketch)
         parts = max(12, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         rows = self.texts.select("text").filter(F.col("text") != "").mapInArrow(_signatures(shipped), "sig long, k long")
         rows = rows.repartition(parts, "sig").sortWithinPartitions("sig", "k")
-        return common.materialize(rows.mapInArrow(_buckets, "sig long, lead long, k long"), "buckets")
+        met = common.materialize(rows.mapInArrow(_buckets, "sig long, lead long, k long").select("sig", "k"), "buckets")
+        sizes = met.groupBy("sig").agg(F.count("*").alias("n"))
+        company = met.join(common.materialize(sizes, "bucket-sizes"), "sig").groupBy("k").agg(F.sum("n").alias("w"))
+        company = common.materialize(company, "company")
+        members = company.select("k").join(self.sets.select("k", "rk"), "k")
+        texts = self.texts.select("rk", "text").join(members.hint("merge"), "rk").select("rk", "k", "text").mapInArrow(_one_text, "k long, text string")
+        self.members = common.materialize(texts, "member-texts")
+        return common.materialize(met.join(company, "k").select("sig", "k", "w"), "ranked-buckets")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) whose sets link."""
@@ -306,32 +332,53 @@ class Join:
         pairs = pairs.join(own.toDF("a", "na", "cva"), "a").join(own.toDF("b", "nb", "cvb"), "b")
         pairs = pairs.filter((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4))
         pairs = common.materialize(pairs.mapInArrow(_bounded, "a long, b long"), "pairs")
-        wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        wanted = wanted.join(self.sets.select("k", "rk"), "k")
-        texts = self.texts.select("rk", "text").join(wanted.hint("merge"), "rk").select("rk", "k", "text").mapInArrow(_one_text, "k long, text string")
-        texts = common.materialize(texts, "texts")
-        met = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
+        met = pairs.join(self.members.toDF("b", "tb"), "b").join(self.members.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
         return common.materialize(met.mapInArrow(_verify, "a long, b long"), "links")
 
-    def rest(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    def first_pairs(self, buckets: DataFrame) -> DataFrame:
+        """Every member of a bucket with its most central one."""
+        lead = buckets.groupBy("sig").agg(F.max(F.struct("w", "k"))["k"].alias("a"))
+        return buckets.join(lead, "sig").filter("a <> k").select("a", F.col("k").alias("b")).distinct()
+
+    def _mixed(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+        """(sig, k, w, label, lo) of the buckets that hold different components; lo is the smallest of them."""
+        known = buckets.join(labels.toDF("k", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+        mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig", "lo")
+        return common.materialize(known.join(common.materialize(mixed, "mixed-buckets"), "sig").select("sig", "k", "w", "label", "lo"), "mixed")
+
+    def next_pairs(self, mixed: DataFrame) -> DataFrame:
+        """The most central member of every component in a bucket with that of the bucket."""
+        reps = mixed.groupBy("sig", "label").agg(F.max(F.struct("w", "k")).alias("rep"))
+        lead = reps.groupBy("sig").agg(F.max("rep")["k"].alias("a"))
+        return reps.join(lead, "sig").select("a", F.col("rep.k").alias("b")).filter("a <> b").distinct()
+
+    def rest(self, mixed: DataFrame) -> DataFrame:
         """Pairs of different components that share a bucket and pass the bound."""
-        known = buckets.select("sig", "k").join(labels.toDF("k", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-        mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("sig", "c")
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        rows = known.join(mixed, "sig").join(self.sets.select("k", "n", "cv"), "k")
-        rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members = common.materialize(mixed.select("lo", "k", "label").distinct(), "rest-members")
+        sizes = members.groupBy("lo").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).select("lo", "blocks")
+        rows = members.join(common.materialize(sizes, "rest-sizes"), "lo").join(self.sets.select("k", "n", "cv"), "k")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "k", "label", "n", "cv", side.alias("side"))
-        return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_by_bucket, "a long, b long").distinct()
+        rows = rows.select("lo", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "k", "label", "n", "cv", side.alias("side"))
+        return rows.repartition("lo", "x", "y").sortWithinPartitions("lo", "x", "y").mapInArrow(_by_group, "a long, b long").distinct()
+
+    def links(self) -> DataFrame:
+        """Links enough to connect every component."""
+        buckets = self.buckets()
+        links = self.linked(self.first_pairs(buckets))
+        for _ in range(ROUNDS - 1):
+            mixed = self._mixed(buckets, common.materialize(components(links), "labels"))
+            more = self.linked(self.next_pairs(mixed))
+            if more.isEmpty():
+                break
+            links = links.union(more)
+        else:
+            mixed = self._mixed(buckets, common.materialize(components(links), "labels"))
+        return links.union(self.linked(self.rest(mixed)))
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        buckets = self.buckets()
-        links = self.linked(buckets.filter("lead <> k").select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct())
-        labels = common.materialize(components(links), "labels")
-        more = self.linked(self.rest(buckets, labels))
-        if not more.isEmpty():
-            labels = common.materialize(components(links.union(more)), "labels")
+        labels = common.materialize(components(self.links()), "labels")
         placed = self.sets.select("k", "doc_id").join(labels.toDF("k", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
         least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = placed.join(least, "label").select("k", "component_id")
@@ -340,27 +387,24 @@ class Join:
         return rows.filter(F.col("k").isNotNull()).join(named, "k").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(alone)
 
 
-def _by_bucket(batches):
-    """Streams rows sorted by bucket into one search a bucket."""
+def _by_group(batches):
+    """Streams rows sorted by group into one search a group."""
     held: list[pa.Table] = []
     key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "x", "y")], 1)
+        keys = np.stack([batch.column(c).to_numpy() for c in ("lo", "x", "y")], 1)
         cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]))
-        out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = tuple(keys[a])
             if key is not None and own != key:
-                out.append(_search_buckets(pa.concat_tables(held)))
+                yield from _search_group(pa.concat_tables(held))
                 held = []
             key = own
             held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-        if out:
-            yield from pa.concat_tables(out).combine_chunks().to_batches()
     if held:
-        yield from _search_buckets(pa.concat_tables(held)).to_batches()
+        yield from _search_group(pa.concat_tables(held))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
