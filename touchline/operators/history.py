@@ -27,13 +27,17 @@ def join_back(rows: DataFrame, facts: DataFrame, keys: list[str], date: str) ->
     return rows.join(facts, same, "left").drop(*[facts[k] for k in [*keys, date]])
 
 
-def strict_sums(rows: DataFrame, keys: list[str], date: str, sums: dict[str, Column], empty: int | None = 0) -> DataFrame:
-    """rows with, for each name in sums, the sum over strictly earlier days (empty: value without history)."""
+def sums_by_day(rows: DataFrame, keys: list[str], date: str, sums: dict[str, Column], empty: int | None = 0) -> DataFrame:
+    """(keys, date, sums over strictly earlier days), one row a day (empty: value without history)."""
     daily = rows.groupBy(*keys, date).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     w = earlier_days(keys, date)
     run = [F.sum(n).over(w) for n in sums]
-    facts = daily.select(*keys, date, *[(F.coalesce(r, F.lit(empty)) if empty is not None else r).alias(n) for n, r in zip(sums, run, strict=True)])
-    return join_back(rows, facts, keys, date)
+    return daily.select(*keys, date, *[(F.coalesce(r, F.lit(empty)) if empty is not None else r).alias(n) for n, r in zip(sums, run, strict=True)])
+
+
+def strict_sums(rows: DataFrame, keys: list[str], date: str, sums: dict[str, Column], empty: int | None = 0) -> DataFrame:
+    """rows with, for each name in sums, the sum over strictly earlier days."""
+    return join_back(rows, sums_by_day(rows, keys, date, sums, empty), keys, date)
 
 
 def rest_days(rows: DataFrame, keys: list[str], date: str, name: str = "rest_days") -> DataFrame:
@@ -43,8 +47,8 @@ def rest_days(rows: DataFrame, keys: list[str], date: str, name: str = "rest_day
     return join_back(rows, facts, keys, date)
 
 
-def last_n(rows: DataFrame, keys: list[str], date: str, tie: str, values: list[str], n: int = 5) -> DataFrame:
-    """rows with `recent`: the values of the key's last n rows on strictly earlier days, oldest first.
+def recent_by_day(rows: DataFrame, keys: list[str], date: str, tie: str, values: list[str], n: int = 5) -> DataFrame:
+    """(keys, date, recent), one row a day: the values of the key's last n rows on strictly earlier days, oldest first.
 
     A day hands on its last n rows at most (trimmed before the shuffle), and the last n before a day lie
     in the n days with rows before it, so no array outgrows n * n.
@@ -52,12 +56,15 @@ def last_n(rows: DataFrame, keys: list[str], date: str, tie: str, values: list[s
     w = Window.partitionBy(*keys, date).orderBy(F.col(tie).desc())
     tail = rows.select(*keys, date, tie, *values).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     daily = tail.groupBy(*keys, date).agg(F.sort_array(F.collect_list(F.struct(date, tie, *values))).alias("_day"))
-    # days without their own rows do not exist here, so n day rows hold at least n rows
+    # days without rows of their own do not exist here, so n day rows hold at least n rows
     before = F.flatten(F.collect_list("_day").over(Window.partitionBy(*keys).orderBy(_days(date)).rowsBetween(-n, -1)))
     facts = daily.select(*keys, date, before.alias("_all"))
-    facts = facts.select(*keys, date, F.slice("_all", F.greatest(F.size("_all") - (n - 1), F.lit(1)), F.lit(n)).alias("recent"))
-    out = join_back(rows, facts, keys, date)
-    return out
+    return facts.select(*keys, date, F.slice("_all", F.greatest(F.size("_all") - (n - 1), F.lit(1)), F.lit(n)).alias("recent"))
+
+
+def last_n(rows: DataFrame, keys: list[str], date: str, tie: str, values: list[str], n: int = 5) -> DataFrame:
+    """rows with `recent`, see recent_by_day."""
+    return join_back(rows, recent_by_day(rows, keys, date, tie, values, n), keys, date)
 
 
 def total(array: str, field: str) -> Column:
