@@ -418,6 +418,17 @@ def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     return Join(common.table(spark, sf_dir, "documents")).result()
 
 
+OP7_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS x FROM d, LATERAL (SELECT unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, CASE WHEN e.a = r.v THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.v OR e.b = r.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY 1) c ON c.u = d.doc_id
+"""
+
+
 def brute(texts: list[str | None], size: int = SHINGLE) -> list[tuple[int, int]]:
     """(set size, number of the first text of the component) by comparing all pairs, for tests."""
     import re

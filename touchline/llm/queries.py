@@ -21,5 +21,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_rotation": chat.OP1_SQL,
     "op4_vafile": vafile.OP4_SQL,
     "op6_sharding": sharding.OP6_SQL,
+    "op7_jaccard": jaccard.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
