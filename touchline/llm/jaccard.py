@@ -362,23 +362,31 @@ class Join:
         rows = rows.select("lo", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "k", "label", "n", "cv", side.alias("side"))
         return rows.repartition("lo", "x", "y").sortWithinPartitions("lo", "x", "y").mapInArrow(_by_group, "a long, b long").distinct()
 
-    def links(self) -> DataFrame:
-        """Links enough to connect every component."""
+    def labels(self) -> DataFrame:
+        """(node, label) of every set that links with another."""
         buckets = self.buckets()
-        links = self.linked(self.first_pairs(buckets))
+        found = self._joined(None, self.linked(self.first_pairs(buckets)))
         for _ in range(ROUNDS - 1):
-            mixed = self._mixed(buckets, common.materialize(components(links), "labels"))
+            mixed = self._mixed(buckets, found)
             more = self.linked(self.next_pairs(mixed))
             if more.isEmpty():
                 break
-            links = links.union(more)
+            found = self._joined(found, more)
         else:
-            mixed = self._mixed(buckets, common.materialize(components(links), "labels"))
-        return links.union(self.linked(self.rest(mixed)))
+            mixed = self._mixed(buckets, found)
+        return self._joined(found, self.linked(self.rest(mixed)))
+
+    def _joined(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components of the links so far: what is known enters as stars, so few rounds are left to do."""
+        if labels is not None:
+            if links.isEmpty():
+                return labels
+            links = links.union(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return common.materialize(components(links), "labels")
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        labels = common.materialize(components(self.links()), "labels")
+        labels = self.labels()
         placed = self.sets.select("k", "doc_id").join(labels.toDF("k", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
         least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = placed.join(least, "label").select("k", "component_id")
