@@ -110,7 +110,8 @@ def _features(batches):
         for lo, hi, buf, offs in tb.slices(batch.column("text")):
             row, value = shingles(buf, offs)
             counts, key = set_hashes(row, value, hi - lo)
-            total += np.bincount(cell(value), minlength=CELLS).astype(np.uint32)
+            seen, times = np.unique(cell(value), return_counts=True)
+            total[seen] += times.astype(np.uint32)
             cv = count_vectors(row, value, hi - lo)
             packed = cv.astype(np.uint8).tobytes()
             wide = cv.max(1, initial=0) > 255

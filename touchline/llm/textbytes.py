@@ -30,7 +30,7 @@ ALNUM[128:] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and their inverses, at least n + 1 of each."""
     if len(_powers.get("up", ())) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        size = max(1 << 16, n + (n >> 3) + 2)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             a = np.full(size, base, dtype=np.uint64)
             a[0] = 1
@@ -63,13 +63,13 @@ def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) of runs of rows of about `most` bytes; a row stays whole."""
     buf, offs = raw_texts(column)
     n, lo = len(offs) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
-        hi = min(hi, n, lo + 4096)
+        hi = min(hi, n, lo + 1024)
         yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

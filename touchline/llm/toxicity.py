@@ -38,7 +38,7 @@ DISCOUNT = 0.75
 CELLS = 1 << 22
 CALIBRATION_ROWS = 12_000
 COUNT_FOLDS, CALIBRATION_FOLD = (1, 2, 3), 4
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 X = tuple(f"{common.OWN}x{k}" for k in range(4))
 
 
