@@ -24,8 +24,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that of the smallest id."""
-    return jaccard.keep_one(docs)
+    """Keeps one row of each group of near copies, one of the smallest id."""
+    return jaccard.keep_one(docs, repeats=False)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,6 +183,22 @@ def test_jaccard_nulls_repeats_empties(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 2, 5, 5]
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    """Repeated rows, a second text under a kept id, and null ids beside a component of null ids."""
+    rnd = random.Random(21)
+    one, two, three = (words(rnd, 60, 10**6) for _ in range(3))
+    texts = [one, one, one + " end", two, two + " end", three, three + " end", three, None, None, ""]
+    ids = [5, 5, 3, 3, 1, None, None, None, None, None, 7]
+    docs = clashing(docs_of(spark, texts, ids))
+    kept = jaccard.keep_one(docs, repeats=False)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert len(got) == 5 and {(3, one + " end"), (1, two + " end"), (None, None), (7, "")} < set(got)
+    assert len([t for _, t in got if t and t.startswith(three)]) == 1
+    with_repeats = [(r.doc_id, r.text) for r in jaccard.keep_one(docs_of(spark, [one, one, three, None], [5, 5, 6, None])).collect()]
+    assert sorted(with_repeats, key=str) == sorted([(5, one), (5, one), (6, three), (None, None)], key=str)
+
+
 def test_count_tree_loses_nothing():
     rnd = np.random.default_rng(3)
     points = rnd.poisson(2, (300, jaccard.GROUPS)).astype(np.int64)

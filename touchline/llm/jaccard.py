@@ -395,6 +395,16 @@ class Join:
         alone = rows.filter(F.col("k").isNull()).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return rows.filter(F.col("k").isNotNull()).join(named, "k").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(alone)
 
+    def chosen(self) -> DataFrame:
+        """(rk, copies): the row hash chosen of each component, and how many rows have it."""
+        rows = self.rows.groupBy("rk").agg(F.first("k").alias("k"), F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+        rows = common.materialize(rows, "distinct-rows")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "copies")
+        sets = rows.filter(F.col("n") > 0).groupBy("k").agg(F.min(order).alias("least"))
+        placed = sets.join(self.labels().toDF("k", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+        least = placed.groupBy("label").agg(F.min("least").alias("least")).select("least.rk", "least.copies")
+        return least.union(rows.filter(F.col("n") == 0).select("rk", "copies"))
+
 
 def _by_group(batches):
     """Streams rows sorted by group into one search a group."""
@@ -416,11 +426,21 @@ def _by_group(batches):
         yield from _search_group(pa.concat_tables(held))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (rows with null ids, and repeats of an id, stay only where they are alone or first)."""
-    joined = Join(docs).result().select("doc_id", "component_id").distinct()
-    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{common.OWN}id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[f"{common.OWN}id"]), "left_semi")
+def keep_one(docs: DataFrame, repeats: bool = True) -> DataFrame:
+    """docs with one (doc_id, text) of each component: that of the smallest id (null ids last), and of its smallest row hash.
+
+    Texts without words are each their own component. repeats: whether further rows of the chosen (doc_id, text)
+    stay as well; without them every component keeps one row, that of the smallest hash over all its columns.
+    """
+    rk, n, mark = f"{common.OWN}rk", f"{common.OWN}n", f"{common.OWN}row"
+    keyed = docs.select("*", F.xxhash64(docs["doc_id"], docs["text"]).alias(rk))
+    kept = keyed.join(Join(docs).chosen().toDF(rk, n), rk)
+    if repeats:
+        return kept.select(*[kept[c] for c in docs.columns])
+    one = kept.filter(F.col(n) == 1).select(*docs.columns)
+    more = kept.filter(F.col(n) > 1).select(rk, F.xxhash64(*docs.columns).alias(mark), F.struct(*docs.columns).alias(f"{common.OWN}all"))
+    first = more.groupBy(rk).agg(F.min_by(f"{common.OWN}all", mark).alias(f"{common.OWN}all"))
+    return one.union(first.select(f"{common.OWN}all.*"))
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
