@@ -364,6 +364,27 @@ def test_scores_without_labels_or_rows(spark, labelled, module):
     assert module.score(docs.filter("false"), labels, ["doc_id"]).count() == 0
 
 
+def test_six_grams_are_exact_and_both_ways_agree(spark, labelled, monkeypatch):
+    """The table has a row of its own for every six-gram, and scores do not depend on how it is looked up."""
+    rnd = random.Random(4)
+    train = spark.createDataFrame([(words(rnd, 400, 10**9), i % 2) for i in range(40)], "text string, toxic int")
+    raw = [tb.raw_texts(pa.array([r.text])) for r in train.collect()]
+    grams = np.unique(np.concatenate([toxicity.spell(*x)[0] for x in raw]))
+    by_gram, by_ctx, _ = toxicity.fit_tables(train)
+    tables = toxicity._sorted(by_gram), toxicity._sorted(by_ctx)
+    assert np.array_equal(tables[0][0], grams) and np.array_equal(tables[1][0], np.unique(grams >> 8))
+    unseen = (grams & ~0xFF) | ord("!")
+    assert not toxicity.look_up(tables[0], unseen)[1].any() and toxicity.look_up(tables[1], unseen >> 8)[1].all()
+    docs, labels = labelled
+    docs = docs.union(docs.limit(3)).unionByName(docs.limit(1).selectExpr("9000L AS doc_id", "'Scumbag scumbag É w1' AS text", "lang", "source", "n_chars"))
+    made = []
+    for most in (toxicity.SHIPPED_GRAMS, 0):
+        monkeypatch.setattr(toxicity, "SHIPPED_GRAMS", most)
+        made.append(sorted((r.doc_id or -1, r.score) for r in toxicity.score(docs, labels, ["doc_id"]).collect()))
+    assert len(made[0]) == len(made[1]) == docs.count()
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-9) for a, b in zip(*made, strict=True))
+
+
 def test_machine_equals_all_pairs():
     rng = np.random.default_rng(1)
     w, v = rng.normal(size=quality.BUCKETS), rng.normal(size=(quality.BUCKETS, quality.RANK))

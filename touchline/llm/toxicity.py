@@ -12,10 +12,11 @@ length: over the whole text per word, and over its two most toxic words. A logis
 these (fitted on labelled rows whose counts were not used) turns them into a score.
 
 Counting covers all labelled rows of folds 1 to 3 and grows with them; it is an aggregation by
-n-gram with map-side combining. Only the finished table is broadcast, folded into `CELLS` cells of
-two bytes (2**22, 8 MB, whatever the input): n-grams that share a cell share a value, weighted by their
-share of either class. Calibration uses at most `CALIBRATION_ROWS` labelled rows of fold 4, those
-with the smallest hash. Fold 0 is never learned from.
+n-gram with map-side combining. The finished table has an exact row a six-gram and a context, so it grows
+with the input and an unseen six-gram always backs off. A spelling's evidence depends on its word alone: up to
+`SHIPPED_GRAMS` six-grams the table is broadcast, above that distinct words (told apart by 64-bit hashes) meet it by
+joins, and documents meet their words; both ways give the same evidence. Calibration uses at most
+`CALIBRATION_ROWS` labelled rows of fold 4, those with the smallest hash. Fold 0 is never learned from.
 
 Defined results: null or empty texts score like a text without evidence; repeated labels of an id
 count once (the larger); null labels or ids are not learned from; without labels of both classes every
@@ -35,11 +36,12 @@ from touchline.llm import textbytes as tb
 ORDER = 6
 SHARED_ORDERS = (4, 2)
 DISCOUNT = 0.75
-CELLS = 1 << 22
+SHIPPED_GRAMS = 1 << 21
 CALIBRATION_ROWS = 12_000
 COUNT_FOLDS, CALIBRATION_FOLD = (1, 2, 3), 4
 _FLUSH = 1 << 20
 X = tuple(f"{common.OWN}x{k}" for k in range(4))
+WORDS, COUNTS = f"{common.OWN}words", f"{common.OWN}counts"
 
 
 def spell(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,16 +94,6 @@ def _count(batches):
     yield from flush()
 
 
-def cell_of(keys: np.ndarray) -> np.ndarray:
-    return (tb.mix(keys.astype(np.uint64)) & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def _cells(batches):
-    for batch in batches:
-        keys = batch.column("key").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(cell_of(keys).astype(np.int32)), batch.column("llr"), batch.column("w")], names=["cell", "llr", "w"])
-
-
 def _shared(grams: DataFrame) -> DataFrame:
     """(suffix of four bytes, its probability under the shared continuation counts)."""
     lower = None
@@ -118,10 +110,10 @@ def _shared(grams: DataFrame) -> DataFrame:
     return lower
 
 
-def fit_tables(train: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    """(log ratio by six-gram cell, by context cell of unseen six-grams, symbols of each class).
+def fit_tables(train: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """(key and llr of every six-gram, of every context of unseen six-grams, symbols of each class).
 
-    train: text and toxic (0 or 1). Cells of n-grams never seen are NaN, or 0 for contexts.
+    train: text and toxic (0 or 1).
     """
     grams = train.select("text", "toxic").mapInArrow(_count, "gram long, toxic long, plain long")
     grams = common.materialize(grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "kn-grams")
@@ -139,23 +131,32 @@ def fit_tables(train: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int
         seen = F.when(F.col(f"n_{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"n_{c}")).otherwise(0.0)
         return seen + back(c) * F.col("p")
 
-    weight = sum((F.col(c) / float(max(n, 1)) for c, n in zip(("toxic", "plain"), totals, strict=True)), F.lit(0.0))
     shared = _shared(grams)
     by_gram = (
         grams.join(ctx, F.shiftright(grams["gram"], 8) == ctx["ctx"])
         .join(shared, F.expr("gram & 4294967295") == shared["g"])
-        .select(F.col("gram").alias("key"), F.log(p("toxic") / p("plain")).alias("llr"), weight.alias("w"))
+        .select(F.col("gram").alias("key"), F.log(p("toxic") / p("plain")).alias("llr"))
     )
-    weight = sum((F.col(f"n_{c}") / float(max(n, 1)) for c, n in zip(("toxic", "plain"), totals, strict=True)), F.lit(0.0))
-    by_ctx = ctx.select(F.col("ctx").alias("key"), F.log(back("toxic") / back("plain")).alias("llr"), weight.alias("w"))
-    tables = []
-    for values, empty in ((by_gram, np.nan), (by_ctx, 0.0)):
-        cells = values.mapInArrow(_cells, "cell int, llr double, w double").groupBy("cell").agg((F.sum(F.col("llr") * F.col("w")) / F.sum("w")).cast("float").alias("llr"))
-        got = cells.toArrow()  # at most CELLS rows
-        out = np.full(CELLS, empty, np.float16)
-        out[got.column("cell").to_numpy()] = got.column("llr").to_numpy()
-        tables.append(out)
-    return tables[0], tables[1], totals
+    by_ctx = ctx.select(F.col("ctx").alias("key"), F.log(back("toxic") / back("plain")).alias("llr"))
+    return common.materialize(by_gram, "kn-table"), by_ctx, totals
+
+
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, their log ratios) on the driver."""
+    got = table.toArrow()
+    keys, llr = got.column("key").to_numpy(), got.column("llr").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], llr[order]
+
+
+def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log ratios, 0 where there is none; whether the key is known)."""
+    known, llr = table
+    if not len(known):
+        return np.zeros(len(keys)), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    found = known[at] == keys
+    return np.where(found, llr[at], 0.0), found
 
 
 def evidence(buf, offs, by_gram, by_ctx) -> np.ndarray:
@@ -165,9 +166,9 @@ def evidence(buf, offs, by_gram, by_ctx) -> np.ndarray:
     out = np.zeros((n, 4))
     if not len(begin):
         return out
-    ratio = by_gram[cell_of(grams)].astype(np.float32)
-    unseen = np.flatnonzero(np.isnan(ratio))
-    ratio[unseen] = by_ctx[cell_of(grams[unseen] >> 8)]
+    ratio, found = look_up(by_gram, grams)
+    unseen = np.flatnonzero(~found)
+    ratio[unseen] = look_up(by_ctx, grams[unseen] >> 8)[0]
     word = np.add.reduceat(ratio, begin)
     counts = np.diff(first)
     rows = np.flatnonzero(counts)
@@ -194,6 +195,65 @@ def _evidence_rows(shipped, names):
     return run
 
 
+def _row_words(names):
+    """The named columns with the hashes of each row's distinct words and their counts (8 and 4 bytes each)."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, counts = [], []
+            for lo, hi, buf, offs in tb.slices(batch.column("text")):
+                starts, ends, first = tb.words(buf, offs, tb.ALNUM)
+                h = tb.word_hashes(buf, starts, ends).view(np.int64)
+                for i in range(hi - lo):
+                    word, n = np.unique(h[first[i] : first[i + 1]], return_counts=True)
+                    hashes.append(word.tolist())
+                    counts.append(n.tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=[*names, WORDS, COUNTS])
+
+    return run
+
+
+def _distinct_words(batches):
+    """(h, word): the distinct words of each slice of texts."""
+    for batch in batches:
+        for _, _, buf, offs in tb.slices(batch.column("text")):
+            starts, ends, _ = tb.words(buf, offs, tb.ALNUM)
+            h, at = np.unique(tb.word_hashes(buf, starts, ends).view(np.int64), return_index=True)
+            raw = tb.LOWER[buf].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([raw[starts[i] : ends[i]] for i in at], pa.binary())], names=["h", "word"])
+
+
+def _word_grams(batches):
+    """(h, gram) of every symbol of the words."""
+    for batch in batches:
+        text = batch.column("word").cast(pa.string())
+        for lo, hi, buf, offs in tb.slices(text):
+            grams, begin, _ = spell(buf, offs)
+            size = np.diff(np.append(begin, len(grams)))
+            h = batch.column("h").slice(lo, hi - lo).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, size)), pa.array(grams)], names=["h", "gram"])
+
+
+def _joined_evidence(docs: DataFrame, names: list[str], by_gram: DataFrame, by_ctx: DataFrame) -> DataFrame:
+    """The columns names of docs and X, by joins on distinct words and six-grams."""
+    row, llr = f"{common.OWN}row", F.col("llr")
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    made = docs.mapInArrow(_row_words(names), f"{shape}, {WORDS} array<long>, {COUNTS} array<long>".removeprefix(", "))
+    made = common.materialize(made.withColumn(row, F.monotonically_increasing_id()), "row-words")
+    words = docs.select("text").mapInArrow(_distinct_words, "h long, word binary").groupBy("h").agg(F.min("word").alias("word"))
+    grams = words.mapInArrow(_word_grams, "h long, gram long")
+    met = grams.join(by_gram.toDF("gram", "own"), "gram", "left")
+    met = met.join(by_ctx.toDF("ctx", "back"), F.shiftright("gram", 8) == F.col("ctx"), "left")
+    by_word = common.materialize(met.groupBy("h").agg(F.sum(F.coalesce("own", "back", F.lit(0.0))).alias("llr")), "word-evidence")
+    each = made.select(row, F.explode(F.arrays_zip(WORDS, COUNTS)).alias("w")).select(row, F.col(f"w.{WORDS}").alias("h"), F.col(f"w.{COUNTS}").alias("n"))
+    each = each.join(by_word, "h")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("llr", "n")), False), 1, 2)
+    top = each.groupBy(row).agg((F.sum(llr * F.col("n")) / F.sum("n")).alias(X[0]), best.alias("best"), F.sum("n").alias("words"))
+    second = F.when(F.col("best")[0]["n"] > 1, F.col("best")[0]["llr"]).otherwise(F.try_element_at("best", F.lit(2))["llr"])
+    top = top.select(row, X[0], F.col("best")[0]["llr"].alias(X[1]), second.alias(X[2]), F.log1p("words").alias(X[3]))
+    return made.select(row, *names).join(top, row, "left").select(*names, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in X])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(means, scales, weights with the constant last) of a ridge logistic regression by Newton's method."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -216,15 +276,20 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     texts = common.only(docs, "doc_id", "text").filter(F.col("text").isNotNull())
     counted = texts.filter(common.crc_fold("doc_id").isin(*COUNT_FOLDS)).join(given.filter(F.col("fold").isin(*COUNT_FOLDS)).hint("merge"), "doc_id")
     by_gram, by_ctx, totals = fit_tables(counted)
-    shipped = spark.sparkContext.broadcast((by_gram, by_ctx))  # CELLS cells of two bytes, twice
-    shape = ", ".join(f"{c} double" for c in X)
     few = given.filter(F.col("fold") == CALIBRATION_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
     sample = texts.join(F.broadcast(few.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
-    got = sample.mapInArrow(_evidence_rows(shipped, ["toxic"]), f"toxic int, {shape}").toPandas()
+    asked = docs.select(*[docs[c] for c in dict.fromkeys([*keep, "text"])])
+    if by_gram.count() <= SHIPPED_GRAMS:  # contexts are no more than six-grams
+        shipped = spark.sparkContext.broadcast((_sorted(by_gram), _sorted(by_ctx)))
+        shape = ", ".join(f"{c} double" for c in X)
+        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        seen = sample.mapInArrow(_evidence_rows(shipped, ["toxic"]), f"toxic int, {shape}")
+        out = asked.mapInArrow(_evidence_rows(shipped, keep), f"{kinds}, {shape}")
+    else:
+        seen = _joined_evidence(sample, ["toxic"], by_gram, by_ctx)
+        out = _joined_evidence(asked, keep, by_gram, by_ctx)
+    got = seen.toPandas()
     x, y = got[list(X)].to_numpy(float), got["toxic"].to_numpy(float)
-    out = docs.select(*[docs[c] for c in dict.fromkeys([*keep, "text"])]).mapInArrow(
-        _evidence_rows(shipped, keep), ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {shape}"
-    )
     if not len(y) or y.min() == y.max() or not min(totals):
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
         return out.select(*keep, F.lit(float(share)).alias("score"))
