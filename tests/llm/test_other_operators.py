@@ -106,6 +106,27 @@ def test_heavy_segments_are_cut(spark, monkeypatch):
     assert max(r.n_turns for r in got) < 40 and sum(r.n_turns for r in got) == 200 and sum(r.n_trained for r in got) == 100
 
 
+def test_heavy_segments_of_the_query_equal_sql(spark, tmp_path):
+    """5,000 rows of one turn and 5,000 of a null conv_id, whole and in order; parts of rotate follow the same order."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 5, f"s{i % 3}", f"t{i} é") for i in range(5000)] + [(None, None if i % 2 else i % 7, "ann" if i % 3 else None, f"u{i}") for i in range(5000)]
+    rows += [(1, 5, "system", "be kind"), (1, 6, "s1", None), (2, 0, "ann", "hi"), (2, 0, "ann", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(chat.OP1_SQL).fetchall()
+    got = chat.op1_chat_rotation(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    parts = chat.rotate(df).filter("conv_id = 1").orderBy("perspective", "segment", "part").collect()
+    assert len(parts) > 3 and all(r.text[m["from"] : m["to"]].endswith(chat.CLOSE) for r in parts for m in r.mask)
+    for r in got:
+        if r.conv_id == 1:
+            assert "".join(p.text for p in parts if p.perspective == r.perspective) == r.text
+    assert chat.rotate(df.withColumn("role", F.lit("system"))).count() == 0
+
+
 def test_dialogues_use_no_python(spark):
     df = spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.rotate(df)._jdf.queryExecution().executedPlan().toString()

@@ -6,9 +6,9 @@ end mark). Speakers in `CONTEXT` (system notes) take no perspective and are rend
 
 Turns are ordered by turn, then speaker, then text. A long dialogue is cut into segments of
 `SEGMENT_TURNS` turn numbers, each a row, so a conversation with a third of all rows is spread over
-segments; where rows share one turn number in such mass that a segment exceeds `HEAVY` rows, that
-segment is cut further, by turn and then by a hash of the rows (which then orders them). Two levels of
-counting decide this, both map-side combined.
+segments. The query renders every segment whole, whatever its size, as its SQL does. `rotate` can also cut
+segments of more than `HEAVY` rows into parts, by turn and then by `PIECE_ROWS` rows of a turn; parts follow the
+order of the rows and are told apart by `part`.
 
 Defined results: exact repetitions of a turn (same conversation, turn, speaker and text) are
 rendered once; null speakers are "unknown"; null texts are empty; null turns come first, in segment -1;
@@ -18,7 +18,7 @@ and gives no row; other columns are ignored. Mask offsets count characters of th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm import common
@@ -29,60 +29,70 @@ CONTEXT = ("system",)
 SEGMENT_TURNS = 256
 HEAVY = 4096
 PIECE_ROWS = 2048
+#: Characters of a rendered turn besides its name and text.
+LAYOUT = len(OPEN) + 1 + len(CLOSE) + 1
 
 
-def _segments(turns: DataFrame) -> DataFrame:
-    """(conv_id, segment, part, said): said is the ordered array of (turn, speaker, text)."""
-    segment = F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(-1)).cast("bigint")
-    rows = turns.select("conv_id", "turn", "speaker", "text", segment.alias("segment")).distinct()
-    heavy = rows.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).withColumnsRenamed({"conv_id": "c", "segment": "s"})
-    rows = rows.join(heavy, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")), "left")
-    unit = F.shiftrightunsigned(F.xxhash64("speaker", "text"), 33) / F.lit(float(1 << 31))
-    piece = F.floor(unit * F.ceil(F.col("n") / PIECE_ROWS)).cast("bigint")
-    none = F.struct(F.lit(0).cast("bigint").alias("turn"), F.lit(0).cast("bigint").alias("piece"))
-    part = F.when(F.col("n").isNull(), none).otherwise(F.struct(F.coalesce("turn", F.lit(-1)).cast("bigint").alias("turn"), piece.alias("piece")))
-    return rows.withColumn("part", part).groupBy("conv_id", "segment", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("said"))
-
+def _segments(turns: DataFrame, cut: bool) -> DataFrame:
+    """(conv_id, segment, part, said): said is the ordered array of (turn, speaker, text, at).
 
-def rotate(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
+    at: characters of the segment (or part) before the row, with the names that others than the speaker see.
+    """
+    segment = F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(-1)).cast("bigint")
+    rows = turns.select("conv_id", "turn", "speaker", "text", "name", segment.alias("segment")).distinct()
+    part = F.struct(F.lit(0).cast("bigint").alias("turn"), F.lit(0).cast("bigint").alias("piece"))
+    if cut:
+        heavy = rows.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).withColumnsRenamed({"conv_id": "c", "segment": "s"})
+        rows = rows.join(heavy, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")), "left")
+        rank = F.row_number().over(Window.partitionBy("conv_id", "segment", "turn").orderBy("speaker", "text"))
+        piece = F.floor((rank - 1) / PIECE_ROWS).cast("bigint")
+        part = F.when(F.col("n").isNull(), part).otherwise(F.struct(F.coalesce("turn", F.lit(-1)).cast("bigint").alias("turn"), piece.alias("piece")))
+    size = F.length("name") + F.length("text") + LAYOUT
+    before = Window.partitionBy("conv_id", "segment", "part").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", part).withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    return rows.groupBy("conv_id", "segment", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text", "at"))).alias("said"))
+
+
+def rotate(conversations: DataFrame, context: tuple[str, ...] = CONTEXT, cut: bool = True) -> DataFrame:
     """(conv_id, perspective, segment, part, n_turns, n_trained, text, mask) of every participant.
 
-    mask: array of (from, to), the spans of text to train on.
+    mask: array of (from, to), the spans of text to train on. cut: whether heavy segments are cut into parts.
     """
     c = conversations
     turns = c.select(
         c["conv_id"], c["turn"].cast("bigint").alias("turn"), F.coalesce(c["role"], F.lit("unknown")).alias("speaker"), F.coalesce(c["text"], F.lit("")).alias("text")
     )
+    other = lambda speaker: F.when(speaker.isin(*context), speaker).otherwise(F.concat(F.lit("user name="), speaker))
+    turns = turns.withColumn("name", other(F.col("speaker")))
     who = turns.filter(~F.col("speaker").isin(*context)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    seen = _segments(turns).join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    seen = _segments(turns, cut).join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+
+    def render(s):
+        name = F.when(s["speaker"] == F.col("perspective"), F.lit("assistant")).otherwise(other(s["speaker"]))
+        return F.concat(F.lit(OPEN), name, F.lit("\n"), s["text"], F.lit(CLOSE + "\n"))
 
-    def shape(s):
-        own = s["speaker"] == F.col("perspective")
-        name = F.when(own, F.lit("assistant")).when(s["speaker"].isin(*context), s["speaker"]).otherwise(F.concat(F.lit("user name="), s["speaker"]))
-        return F.struct(F.concat(F.lit(OPEN), name, F.lit("\n")).alias("head"), F.concat(s["text"], F.lit(CLOSE)).alias("body"), own.alias("own"))
+    # a row of the speaker's own is so much longer or shorter under "assistant" than under the speaker's name
+    change = F.lit(len("assistant")) - F.length(other(F.col("perspective")))
 
-    def lay(acc, p):
-        at = acc["at"] + F.length(p["head"])
-        end = at + F.length(p["body"])
-        span = F.struct(at.alias("from"), end.alias("to"))
-        return F.struct((end + 1).alias("at"), F.when(p["own"], F.concat(acc["mask"], F.array(span))).otherwise(acc["mask"]).alias("mask"))
+    def span(s, k):
+        at = s["at"] + k * change + len(OPEN) + len("assistant") + 1
+        return F.struct(at.cast("int").alias("from"), (at + F.length(s["text"]) + len(CLOSE)).cast("int").alias("to"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<from:int,to:int>>)").alias("mask"))
-    shaped = seen.withColumn("shaped", F.transform("said", shape))
+    shaped = seen.withColumn("own", F.filter("said", lambda s: s["speaker"] == F.col("perspective")))
     return shaped.select(
         "conv_id",
         "perspective",
         "segment",
         "part",
         F.size("said").alias("n_turns"),
-        F.size(F.filter("shaped", lambda p: p["own"])).alias("n_trained"),
-        F.array_join(F.transform("shaped", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
-        F.aggregate("shaped", zero, lay, lambda a: a["mask"]).alias("mask"),
+        F.size("own").alias("n_trained"),
+        F.array_join(F.transform("said", render), "").alias("text"),
+        F.transform("own", span).alias("mask"),
     )
 
 
 def op1_chat_rotation(spark, sf_dir: str) -> DataFrame:
-    made = rotate(common.table(spark, sf_dir, "conversations"))
+    made = rotate(common.table(spark, sf_dir, "conversations"), cut=False)
     spans = F.transform("mask", lambda m: F.concat(m["from"].cast("string"), F.lit("-"), m["to"].cast("string")))
     return made.select("conv_id", "perspective", "segment", "n_turns", "n_trained", "text", F.array_join(spans, ",").alias("mask"))
 
