@@ -77,6 +77,24 @@ def test_leakage_tests_and_their_negative_controls(matches):
     assert leakage.t5_future_pairs(matches).first().observed < sum(r["count"] ** 2 for r in one) / 2
 
 
+@pytest.mark.parametrize("leak", ["sums_by_day", "recent_by_day"])
+def test_perturbation_finds_a_leak_in_the_library_itself(matches, monkeypatch, leak):
+    """A history that sees its own day, in the sums or in the last matches alone, fails T9."""
+    sample = leakage.stride_sample(matches, 5)
+    assert leakage.t9_perturbation(matches, sample).first().verdict == "PASS"
+    kept = history.recent_by_day
+
+    def sums(rows, keys, date, made, empty=0):
+        return rows.groupBy(*keys, date).agg(*[F.sum(c).alias(n) for n, c in made.items()])
+
+    def recent(rows, keys, date, tie, values, n=5):
+        own = rows.groupBy(*keys, date).agg(F.collect_list(F.struct(date, tie, *values)).alias("own"))
+        return kept(rows, keys, date, tie, values, n).join(own, [*keys, date]).select(*keys, date, F.concat("recent", "own").alias("recent"))
+
+    monkeypatch.setattr(history, leak, {"sums_by_day": sums, "recent_by_day": recent}[leak])
+    assert leakage.t9_perturbation(matches, sample).first().verdict == "FAIL"
+
+
 def test_empty_tables_give_defined_verdicts(matches):
     none = matches.filter("false")
     assert [tuple(r) for r in leakage.t1_dated(none).collect()] == [("T1", 0, 0, "PASS")]

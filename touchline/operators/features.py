@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators import history
+
+# The probe features of one side of a match.
+PROBE = ("mp", "pts", "gf", "ga", "last5_pts", "venue_mp", "venue_pts", "prev_pts")
+
 # Fixed value: the weight of the league mean in a carry-over rating.
 SHRINKAGE = 0.25
 
@@ -14,6 +19,22 @@ def rate(x: Column, games: Column) -> Column:
     return F.when(games > 0, x / games)
 
 
+def probe(log: DataFrame, rows: DataFrame, within: list[str] = ()) -> DataFrame:
+    """(within, row_id, season, t, venue, d, PROBE) of rows, from strictly earlier days of the season in log.
+
+    log: within, row_id, season, d, t, venue, gf, ga, pts; rows: some of its rows. within tells copies of a season apart.
+    """
+    team = [*within, "season", "t"]
+    side_of = [*team, "venue"]
+    # all facts of a team are put together by day first; matches look them up once
+    sums = history.sums_by_day(log, team, "d", {"mp": F.lit(1), "b_pts": F.col("pts"), "b_gf": F.col("gf"), "b_ga": F.col("ga")})
+    recent = history.recent_by_day(log, team, "d", "row_id", ["pts"])
+    facts = sums.join(recent, [*team, "d"]).withColumn("last5_pts", history.total("recent", "pts")).withColumn("prev_pts", F.try_element_at("recent", F.lit(-1))["pts"]).drop("recent")
+    got = history.join_back(rows.select("row_id", *side_of, "d"), facts, team, "d")
+    got = history.join_back(got, history.sums_by_day(log, side_of, "d", {"venue_mp": F.lit(1), "venue_pts": F.col("pts")}), side_of, "d")
+    return got.withColumnsRenamed({"b_pts": "pts", "b_gf": "gf", "b_ga": "ga"})
+
+
 def differences(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return df.withColumns({name: F.col(a) - F.col(b) for name, (a, b) in pairs.items()})
 

@@ -23,8 +23,9 @@ def earlier_days(keys: list[str], date: str) -> Window:
 
 
 def join_back(rows: DataFrame, facts: DataFrame, keys: list[str], date: str) -> DataFrame:
-    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(facts[k]) for k in [*keys, date]])
-    return rows.join(facts, same, "left").drop(*[facts[k] for k in [*keys, date]])
+    own = {k: f"_facts_{k}" for k in [*keys, date]}  # by name: rows and facts may come from one table
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f)) for k, f in own.items()])
+    return rows.join(facts.withColumnsRenamed(own), same, "left").drop(*own.values())
 
 
 def sums_by_day(rows: DataFrame, keys: list[str], date: str, sums: dict[str, Column], empty: int | None = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.parse import points
-from touchline.operators import history
+from touchline.operators import features, history
 from touchline.operators.ledger import two_sided
 
 PASS, FAIL, LEAK = "PASS", "FAIL", "LEAK DETECTED"
@@ -101,7 +101,8 @@ def perturbed(matches: DataFrame, sample: DataFrame, same_day: bool = False) ->
     """(sample_id, side, changed): do a sampled match's own features move when its score does?
 
     matches: row_id, season, d, h, a, hg, ag. Every sampled match is scored 9-0 in a copy of its own two teams'
-    season, and features of both copies are compared. same_day widens the frame, as a negative control.
+    season, and all probe features of both copies, made by the library's own code, are compared. same_day reads
+    them a day later, when the match's own day counts as history: a negative control.
     """
     asked = sample.select(F.col("row_id").alias("sample_id"), "season", F.col("d").alias("on"), F.col("h").alias("h0"), F.col("a").alias("a0"))
     near = (matches["h"] == asked["h0"]) | (matches["a"] == asked["h0"]) | (matches["h"] == asked["a0"]) | (matches["a"] == asked["a0"])
@@ -109,13 +110,14 @@ def perturbed(matches: DataFrame, sample: DataFrame, same_day: bool = False) ->
     own = F.col("row_id") == F.col("sample_id")
     versions = copies.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
     versions = versions.withColumn("hg", F.when(own & (F.col("v") == 1), NEW_HOME).otherwise(F.col("hg"))).withColumn("ag", F.when(own & (F.col("v") == 1), NEW_AWAY).otherwise(F.col("ag")))
-    log = two_sided(versions, ["sample_id", "v", "on", "h0", "a0"])
-    earlier = (F.col("d") <= F.col("on")) if same_day else (F.col("d") < F.col("on"))
-    sides = log.filter((F.col("t") == F.col("h0")) | (F.col("t") == F.col("a0"))).groupBy("sample_id", "v", "t").agg(
-        F.count_if(earlier).alias("mp"), *[F.coalesce(F.sum(F.when(earlier, F.col(c))), F.lit(0)).alias(c) for c in ("pts", "gf", "ga")]
-    )
-    packed = sides.groupBy("sample_id", "t").agg(*[F.max(F.when(F.col("v") == v, F.struct("mp", "pts", "gf", "ga"))).alias(f"f{v}") for v in (0, 1)])
-    return packed.select("sample_id", F.col("t").alias("side"), (~F.col("f0").eqNullSafe(F.col("f1"))).alias("changed"))
+    log = two_sided(versions, ["sample_id", "v", "row_id", "h0", "a0"]).filter((F.col("t") == F.col("h0")) | (F.col("t") == F.col("a0")))
+    asking = log.filter(F.col("row_id") == F.col("sample_id"))
+    if same_day:
+        asking = asking.withColumn("d", F.date_add("d", 1)).withColumns({c: F.lit(None).cast(log.schema[c].dataType) for c in ("gf", "ga", "pts")})
+        log = log.unionByName(asking)
+    sides = features.probe(log, asking, ["sample_id", "v"])
+    packed = sides.groupBy("sample_id", "t", "venue").agg(*[F.max(F.when(F.col("v") == v, F.struct(*features.PROBE))).alias(f"f{v}") for v in (0, 1)])
+    return packed.groupBy("sample_id", F.col("t").alias("side")).agg(F.bool_or(~F.col("f0").eqNullSafe(F.col("f1"))).alias("changed"))
 
 
 def t9_perturbation(matches: DataFrame, sample: DataFrame, same_day: bool = False) -> DataFrame:

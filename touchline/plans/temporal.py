@@ -104,15 +104,8 @@ JOIN pv hp ON hp.season = g.season AND hp.t = g.h AND hp.d = g.d JOIN pv ap ON a
 def probe_features(t: Tables) -> DataFrame:
     """All probe features of both sides of every match, from strictly earlier days of the season."""
     log = ledger.two_sided(v.games(t), ["row_id"])
-    team, side_of = ["season", "t"], ["season", "t", "venue"]
-    # all facts of a team are put together by day first; matches look them up once
-    sums = history.sums_by_day(log, team, "d", {"mp": F.lit(1), "b_pts": F.col("pts"), "b_gf": F.col("gf"), "b_ga": F.col("ga")})
-    recent = history.recent_by_day(log, team, "d", "row_id", ["pts"])
-    facts = sums.join(recent, [*team, "d"]).withColumn("last5_pts", history.total("recent", "pts")).withColumn("prev_pts", F.try_element_at("recent", F.lit(-1))["pts"]).drop("recent")
-    got = history.join_back(log.select("row_id", *side_of, "d"), facts, team, "d")
-    got = history.join_back(got, history.sums_by_day(log, side_of, "d", {"venue_mp": F.lit(1), "venue_pts": F.col("pts")}), side_of, "d")
-    names = {"mp": "mp", "b_pts": "pts", "b_gf": "gf", "b_ga": "ga", "venue_mp": "venue_mp", "venue_pts": "venue_pts", "last5_pts": "last5_pts", "prev_pts": "prev_pts"}
-    side = lambda venue, p: [F.max(F.when(F.col("venue") == venue, F.col(c))).alias(f"{p}_{n}") for c, n in names.items()]
+    got = features.probe(log, log)
+    side = lambda venue, p: [F.max(F.when(F.col("venue") == venue, F.col(c))).alias(f"{p}_{c}") for c in ("mp", "pts", "gf", "ga", "venue_mp", "venue_pts", "last5_pts", "prev_pts")]
     return got.groupBy("row_id").agg(*side("home", "h"), *side("away", "a"))
 
 
