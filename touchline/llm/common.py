@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in local mode, where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="touchline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -43,7 +47,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to shared storage and read again: cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.touchline_path = path
+    return made
+
+
+def discard(*made: DataFrame) -> None:
+    """Deletes what `materialize` wrote, once nothing that is still to be computed reads it."""
+    for df in made:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.touchline_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def sieve(keys: DataFrame, key: str, most_bits: int = 1 << 26):
+    """A test of a column of 64-bit hashes: false only for those that are surely not among keys.
+
+    A bitmap of 16 bits a key, of at most `most_bits` bits (8 MB) whatever the input, is broadcast. It only saves
+    the shuffle of rows that a join would drop: with more keys it lets more rows through, and the join decides.
+    """
+    spark = keys.sparkSession
+    bits = min(most_bits, 1 << max(16, (16 * keys.count()).bit_length()))
+    at = F.pmod(F.col(key), F.lit(bits))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shipped = spark.sparkContext.broadcast(table.tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(k: pd.Series) -> pd.Series:
+        own = k.to_numpy(np.int64) % bits
+        word = np.frombuffer(shipped.value, np.uint64)[own >> 6]
+        return pd.Series((word >> (own & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return maybe
 
 
 def crc_fold(col) -> object:
