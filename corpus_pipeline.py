@@ -14,6 +14,8 @@ from touchline.llm import bpe, common, decontaminate, jaccard, quality, suffixes
 
 KEEP_SCORE = 0.3
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Bytes of fifty words: over 95 of 100 runs of 51 words of prose, in each of the four languages, are longer.
+PASSAGE_BYTES = 240
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every byte of passages that also stand elsewhere."""
-    return suffixes.remove(docs)
+    """Removes every byte of passages of PASSAGE_BYTES or more that also stand elsewhere."""
+    return suffixes.remove(docs, PASSAGE_BYTES)
 
 
 def decontaminate_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
