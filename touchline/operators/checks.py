@@ -21,7 +21,8 @@ def row_class(keys: list[Column], score: Column, parsed: Column, date: Column) -
 def coverage(found: DataFrame, group: str, slot: str, content: str, slots: list[str]) -> DataFrame:
     """(group, slot, n, status) for every group and slot: PASS, MISSING, DUPLICATE (same content) or UNKNOWN (different)."""
     every = found.select(group).distinct().withColumn(slot, F.explode(F.array(*map(F.lit, slots))))
-    counts = found.groupBy(group, slot).agg(F.count("*").alias("n"), F.count_distinct(content).alias("kinds"))
+    # contents travel as digests
+    counts = found.groupBy(group, slot).agg(F.count("*").alias("n"), F.count_distinct(F.md5(F.col(content).cast("string").cast("binary"))).alias("kinds"))
     status = F.when(F.col("n").isNull(), "MISSING").when(F.col("n") == 1, "PASS").when(F.col("kinds") == 1, "DUPLICATE").otherwise("UNKNOWN")
     return every.join(counts, [group, slot], "left").select(group, slot, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), status.alias("status"))
 
@@ -54,10 +55,18 @@ def season_checks(log: DataFrame, matches: DataFrame, expected: dict[str, int] |
     return per_season.join(teams, "season").withColumn("status", F.when(good, "PASS").otherwise("FAIL"))
 
 
-def out_of_order(df: DataFrame, group: list[str], position: str, date: str) -> DataFrame:
-    """(group, n, breaks, chronological): how often a row is dated before the row ahead of it. Fewer than two rows are not chronological."""
-    w = Window.partitionBy(*group).orderBy(position)
-    g = df.withColumn("_prev", F.lag(date).over(w)).groupBy(*group).agg(F.count("*").alias("n"), F.count_if(F.col("_prev") > F.col(date)).alias("breaks"))
+def out_of_order(df: DataFrame, group: list[str], position: str, date: str, stretch: int = 1 << 16) -> DataFrame:
+    """(group, n, breaks, chronological): how often a row is dated before the row ahead of it. Fewer than two rows are not chronological.
+
+    Neighbours are compared within stretches of `stretch` positions (a whole number), then the borders of the stretches, a
+    row each: however many rows a group has, no window holds more than a stretch of them.
+    """
+    rows = df.withColumn("_part", F.floor(F.col(position) / stretch))
+    w = Window.partitionBy(*group, "_part").orderBy(position)
+    rows = rows.withColumn("_prev", F.lag(date).over(w))
+    per = rows.groupBy(*group, "_part").agg(F.count("*").alias("n"), F.count_if(F.col("_prev") > F.col(date)).alias("breaks"), F.min_by(date, position).alias("_first"), F.max_by(date, position).alias("_last"))
+    border = F.lag("_last").over(Window.partitionBy(*group).orderBy("_part"))
+    g = per.withColumn("_border", (border > F.col("_first")).cast("bigint")).groupBy(*group).agg(F.sum("n").alias("n"), (F.sum("breaks") + F.coalesce(F.sum("_border"), F.lit(0))).alias("breaks"))
     return g.withColumn("chronological", (F.col("n") > 1) & (F.col("breaks") == 0))
 
 

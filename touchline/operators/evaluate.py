@@ -51,6 +51,41 @@ def fold_checks(matches: DataFrame) -> DataFrame:
     return out.select("fold", "test_season", F.datediff("first", "train_last").cast("bigint").alias("gap_days"), (F.col("train_last") < F.col("first")).alias("ordered"), "overlap", F.col("n").alias("test_rows"))
 
 
+def fold_members(matches: DataFrame, id_col: str = "row_id", season: str = "season") -> DataFrame:
+    """(fold, part, id): the matches of each fold, part "train" or "test"."""
+    f = folds(matches, season)
+    of = f.select("fold", F.explode("train_seasons").alias(season), F.lit("train").alias("part")).unionByName(f.select("fold", F.col("test_season").alias(season), F.lit("test").alias("part")))
+    return matches.select(id_col, season).join(of, season).select("fold", "part", id_col)
+
+
+def fold_audit(matches: DataFrame, members: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """(fold, train_rows, test_rows, ordered, apart, untouched, whole): any division into folds against the rules of time.
+
+    ordered: all of train is dated before all of test; apart: no match is in both; untouched: no match of a test season is
+    in train; whole: the test seasons are complete. A rule that cannot be told (no dates, one part missing) is broken.
+    """
+    rows = members.join(matches.select(id_col, "season", "d"), id_col)
+    test, train = F.col("part") == "test", F.col("part") == "train"
+    per_id = rows.groupBy("fold", id_col).agg((F.bool_or(test) & F.bool_or(train)).alias("both"))
+    both = per_id.groupBy("fold").agg(F.bool_or("both").alias("_both"))
+    totals = matches.groupBy("season").agg(F.count_distinct(id_col).alias("_all"))
+    seasons = rows.groupBy("fold", "season").agg(F.count_if(train).alias("train_rows"), F.count_if(test).alias("test_rows"), F.max(F.when(train, F.col("d"))).alias("last"), F.min(F.when(test, F.col("d"))).alias("first"), F.count_distinct(F.when(test, F.col(id_col))).alias("_test"))
+    seasons = seasons.join(totals, "season")
+    out = seasons.groupBy("fold").agg(
+        F.sum("train_rows").alias("train_rows"), F.sum("test_rows").alias("test_rows"), F.coalesce(F.max("last") < F.min("first"), F.lit(False)).alias("ordered"),
+        (~F.bool_or((F.col("train_rows") > 0) & (F.col("test_rows") > 0))).alias("untouched"), F.bool_and((F.col("_test") == 0) | (F.col("_test") == F.col("_all"))).alias("whole"),
+    )
+    return out.join(both, "fold").select("fold", "train_rows", "test_rows", "ordered", (~F.col("_both")).alias("apart"), "untouched", "whole")
+
+
+def fold_partition(matches: DataFrame, members: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """One row (once, more, never, never_later): how often matches are tested, and how many untested ones are not of the first season."""
+    tested = members.filter("part = 'test'").groupBy(id_col).agg(F.count("*").alias("n"))
+    first = matches.agg(F.min("season").alias("_first"))
+    rows = matches.select(id_col, "season").join(tested, id_col, "left").join(F.broadcast(first))
+    return rows.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("more"), F.count_if(F.col("n").isNull()).alias("never"), F.count_if(F.col("n").isNull() & (F.col("season") > F.col("_first"))).alias("never_later"))
+
+
 def violation(p: tuple[str, ...] = P) -> Column:
     """The first rule that a row breaks (finite, not negative, not above 1, sums to 1), or null."""
     cols = [F.col(c).cast("double") for c in p]
@@ -116,12 +151,9 @@ def metrics(df: DataFrame, by: list[str], label: str = "result") -> DataFrame:
 def share_model(matches: DataFrame, team: str = "h", season: str = "season", label: str = "result") -> DataFrame:
     """Test rows of every fold with smoothed training shares of the home team as probabilities."""
     by = matches.groupBy(team, season).agg(*[F.count_if(F.col(label) == c).alias(f"n_{c}") for c in CLASSES], F.count("*").alias("n"))
-    # shares over all earlier seasons: a strict running sum over (team, season) counts
+    # shares over all earlier seasons: a strict running sum over the (team, season) counts that occur
     w = Window.partitionBy(team).orderBy(season).rangeBetween(Window.unboundedPreceding, -1)
-    seasons = matches.select(season).distinct()
-    teams = matches.select(team).distinct()
-    grid = seasons.join(teams).join(by, [team, season], "left")
     prior = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
-    shares = grid.select(team, season, *[((prior(f"n_{c}") + 1) / (prior("n") + 3)).alias(p) for c, p in zip(CLASSES, P, strict=True)])
-    first = seasons.agg(F.min(season).alias("_first"))
+    shares = by.select(team, season, *[((prior(f"n_{c}") + 1) / (prior("n") + 3)).alias(p) for c, p in zip(CLASSES, P, strict=True)])
+    first = by.agg(F.min(season).alias("_first"))
     return matches.join(shares, [team, season]).join(F.broadcast(first)).filter(F.col(season) > F.col("_first")).drop("_first")

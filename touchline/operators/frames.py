@@ -51,9 +51,30 @@ def missing_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Left join of a one-row-a-key right side: repeats of the key go (first in order stays), and so do columns that left has already."""
+    """Left join of a one-row-a-key right side: repeats of the key go (first in order stays), and so do columns that left has already.
+
+    A key that left has twice breaks the promise: reading the result fails with an error that names it.
+    """
     right = dedupe_first(right, [key], order)
-    return left.join(right.select(key, *[c for c in right.columns if c not in left.columns]), key, "left")
+    own = once(left, key)
+    return own.join(right.select(key, *[c for c in right.columns if c not in left.columns]), key, "left")
+
+
+def merge_chain(left: DataFrame, rights: list[tuple[DataFrame, list[Column]]], key: str) -> DataFrame:
+    """left with the columns of every right side, one to one; of equal names the first stays. rights: (table, order)."""
+    out = once(left, key)
+    for right, order in rights:
+        right = dedupe_first(right, [key], order)
+        out = out.join(right.select(key, *[c for c in right.columns if c not in out.columns]), key, "left")
+    return out
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """df, of which every row of a repeated key is an error. Keys are counted with map-side combining."""
+    counts = df.groupBy(F.col(key).alias("_once")).agg(F.count("*").alias("_n"))
+    told = F.concat(F.lit(f"merge keys are not unique in left: {key} = "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    met = df.join(counts, df[key].eqNullSafe(F.col("_once"))).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(told).cast("bigint")).otherwise(F.col("_n")))
+    return met.filter(F.col("_n") == 1).drop("_once", "_n")
 
 
 def numeric_summary(df: DataFrame, col: str) -> DataFrame:

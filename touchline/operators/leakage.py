@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,27 @@ def t1_dated(matches: DataFrame) -> DataFrame:
     return verdict(matches, "T1", F.count("*"), undated, undated)
 
 
-def t2_strict(log: DataFrame, keys: list[str], same_day: bool = False) -> DataFrame:
-    """History entries in all, none of them dated on the match's day or later."""
-    h = history_sizes(log, keys, same_day=same_day)
-    return verdict(h, "T2", F.sum("n"), F.sum(F.col("n") * F.col("before")), F.sum(F.when(F.col("newest") >= F.col("d"), F.col("n")).otherwise(0)))
+def audited(log: DataFrame, keys: list[str], table: DataFrame | None = None, date: str = "d") -> DataFrame:
+    """(keys, date, n, before, mp, pts): what a feature table says was known (mp matches, pts points), beside the day's rows counted anew.
+
+    table: keys, date, mp and pts, of any number of rows a day; by default what the library's own history makes of log.
+    Of several rows of a day the one that knows most counts.
+    """
+    if table is None:
+        table = history.sums_by_day(log, keys, date, {"mp": F.lit(1), "_known": F.col("pts")}).withColumnRenamed("_known", "pts")
+    facts = table.groupBy(*keys, date).agg(F.max("mp").alias("mp"), F.max("pts").alias("pts"))
+    return history.join_back(history_sizes(log, keys, date), facts, keys, date)
+
+
+def t2_strict(log: DataFrame, keys: list[str], same_day: bool = False, table: DataFrame | None = None) -> DataFrame:
+    """History entries in all; the test fails where a feature table knows more matches than were played on earlier days.
+
+    table: see `audited`. same_day: a table that counts the match's own day, as a negative control.
+    """
+    if same_day:
+        table = history_sizes(log, keys, same_day=True).select(*keys, "d", F.col("before").alias("mp"), F.lit(0).alias("pts"))
+    h = audited(log, keys, table)
+    return verdict(h, "T2", F.sum("n"), F.sum(F.col("n") * F.col("mp")), F.sum(F.when((F.col("mp") > F.col("before")) | (F.col("newest") >= F.col("d")), F.col("n")).otherwise(0)))
 
 
 def t3_same_day(matches: DataFrame) -> DataFrame:
@@ -62,39 +81,60 @@ def t6_availability(matches: DataFrame) -> DataFrame:
     return verdict(days.join(known, "season"), "T6", F.sum("n"), exposed, exposed, LEAK)
 
 
-def t7_constant(log: DataFrame) -> DataFrame:
-    """Team-seasons whose final points would stand unchanged beside several matches."""
-    final = log.groupBy("season", "t").agg(F.sum("pts").alias("final_pts"), F.count("*").alias("n"))
-    beside = log.select("season", "t").join(final, ["season", "t"]).groupBy("season", "t").agg(F.count_distinct("final_pts").alias("kinds"), F.count("*").alias("n"))
+def final_points(log: DataFrame) -> DataFrame:
+    """log with the team's points of the whole season beside every match: what no match may know."""
+    return history.join_back(log, log.groupBy("season", "t").agg(F.sum("pts").alias("final_pts")), ["season"], "t")
+
+
+def t7_constant(table: DataFrame, feature: str = "final_pts") -> DataFrame:
+    """Team-seasons of several matches in which a feature takes one value only: the mark of a season's total.
+
+    table: season, t and the feature; without the feature it is a log, and its final points are put to the test.
+    """
+    table = table if feature in table.columns else final_points(table)
+    beside = table.groupBy("season", "t").agg(F.count_distinct(feature).alias("kinds"), F.count("*").alias("n"))
     constant = F.count_if((F.col("kinds") == 1) & (F.col("n") > 1))
     return verdict(beside, "T7", F.count("*"), constant, constant, LEAK)
 
 
-def t8_behaviour(log: DataFrame, keys: list[str]) -> DataFrame:
-    """No history on a key's first day, and never more rows before than the key has in all."""
-    h = history_sizes(log, keys)
-    w = Window.partitionBy(*keys)
-    h = h.withColumn("_first", F.min("d").over(w)).withColumn("_all", F.sum("n").over(w))
-    broken = F.sum(F.when(((F.col("d") == F.col("_first")) & (F.col("before") > 0)) | (F.col("before") + F.col("n") > F.col("_all")), F.col("n")).otherwise(0))
+def t8_behaviour(log: DataFrame, keys: list[str], table: DataFrame | None = None) -> DataFrame:
+    """A feature table knows nothing on a key's first day, and never more rows than the key has besides the day's own."""
+    h = _seasons(log, keys, table)
+    broken = F.sum(F.when(((F.col("d") == F.col("_first")) & (F.col("mp") > 0)) | (F.col("mp") + F.col("n") > F.col("_all")), F.col("n")).otherwise(0))
     return verdict(h, "T8", F.sum("n"), broken, broken)
 
 
+def t8_totals(log: DataFrame, keys: list[str], table: DataFrame | None = None) -> DataFrame:
+    """Matches whose known points already equal the key's final total, with matches still to come; for information."""
+    final = log.groupBy(*keys).agg(F.sum("pts").alias("_final"))
+    h = history.join_back(_seasons(log, keys, table), final, keys[:-1], keys[-1])
+    early = F.sum(F.when((F.col("mp") < F.col("_all")) & (F.col("pts") == F.col("_final")) & (F.col("_final") > 0), F.col("n")).otherwise(0))
+    return verdict(h, "T8_TOTALS", F.sum("n"), early, F.lit(0))
+
+
+def _seasons(log: DataFrame, keys: list[str], table: DataFrame | None) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    return audited(log, keys, table).withColumn("_first", F.min("d").over(w)).withColumn("_all", F.sum("n").over(w))
+
+
 def stride_sample(matches: DataFrame, n: int = SAMPLE, id_col: str = "row_id") -> DataFrame:
     """Every step-th match in the order of season, day and id; n at most."""
     step = max(1, matches.count() // n)
     return numbered(matches, ["season", "d"], [id_col]).filter((F.col("position") % step == 0) & (F.col("position") < step * n))
 
 
-def numbered(df: DataFrame, coarse: list[str], fine: list[str]) -> DataFrame:
-    """df with its 0-based position in the order of coarse, then fine.
+def numbered(df: DataFrame, coarse: list[str], fine: list[str], within: list[str] = ()) -> DataFrame:
+    """df with its 0-based position in the order of coarse, then fine, nulls last; within: columns that each start anew.
 
-    Rows are ranked within their coarse group only; the single window over all runs on one row a
+    Rows are ranked within their coarse group only; the windows over more than that run on one row a
     group (a day of a season), however many rows there are.
     """
-    sizes = df.groupBy(*coarse).agg(F.count("*").alias("_n"))
-    before = sizes.select(*coarse, (F.sum("_n").over(Window.orderBy(*coarse)) - F.col("_n")).alias("_before"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*coarse).orderBy(*fine)))
-    return ranked.join(before, coarse).withColumn("position", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank")
+    groups = [*within, *coarse]
+    own = {c: f"_of_{c}" for c in groups}
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"))
+    before = sizes.select(*[F.col(c).alias(o) for c, o in own.items()], (F.sum("_n").over(Window.partitionBy(*within).orderBy(*[F.col(c).asc_nulls_last() for c in coarse])) - F.col("_n")).alias("_before"))
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*fine)))
+    return ranked.join(before, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(o)) for c, o in own.items()])).drop(*own.values()).withColumn("position", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank")
 
 
 def perturbed(matches: DataFrame, sample: DataFrame, same_day: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import classify, parse
-from touchline.operators import checks, features, frames, history, ledger, reconcile
+from touchline.operators import checks, features, frames, history, leakage, ledger, reconcile
 from touchline.plans import views as v
 from touchline.session import Tables
 from touchline.sources import html
@@ -61,6 +61,16 @@ def source_inventory(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+WITH x AS (SELECT page_id, replace(replace(html, '<li>', '<table><tr><td>'), '</li>', '</td></tr></table>') AS html FROM pages)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, CAST(NULL AS VARCHAR) AS encoding, CASE WHEN html LIKE '%<table>%' THEN 'html.parser' END AS flavour,
+       CASE WHEN html IS NULL THEN 'no content' WHEN html NOT LIKE '%<table>%' THEN 'no tables found' END AS error, CAST(coalesce(len(regexp_extract_all(html, '<table>')), 0) AS INTEGER) AS n_tables FROM x""")
+def scan_status(t: Tables) -> DataFrame:
+    """How every page was read, on list items dressed as one-cell tables (the pages hold no tables)."""
+    dressed = t.pages.select("page_id", F.replace(F.replace("html", F.lit("<li>"), F.lit("<table><tr><td>")), F.lit("</li>"), F.lit("</td></tr></table>")).alias("html"))
+    return html.scan(dressed, "page_id", "html").drop("shapes")
+
+
 # -- classification ----------------------------------------------------------------------------------
 
 
@@ -257,7 +267,7 @@ def _sides(t: Tables) -> DataFrame:
     games = v.games(t)
     log = ledger.two_sided(games)
     # one row per team and day carries the facts, so they are joined twice without repeating rows
-    facts = history.strict_sums(log, ["season", "t"], "d", {"b_pts": F.col("pts"), "b_gf": F.col("gf"), "b_mp": F.lit(1)}).select("season", "t", "d", "b_pts", "b_gf", "b_mp").dropDuplicates(["season", "t", "d"])
+    facts = history.sums_by_day(log, ["season", "t"], "d", {"b_pts": F.col("pts"), "b_gf": F.col("gf"), "b_mp": F.lit(1)})
     for side in ("h", "a"):
         own = facts.select(F.col("season"), F.col("d"), F.col("t").alias(side), *[F.col(c).alias(f"{side}{c[1:]}") for c in ("b_pts", "b_gf", "b_mp")])
         games = games.join(own, ["season", "d", side])
@@ -292,6 +302,28 @@ def head_tail(t: Tables) -> DataFrame:
     return cut("head", F.col("o_orderkey").asc()).unionAll(cut("tail", F.col("o_orderkey").desc()))
 
 
+_LAST5 = """(SELECT row_id, t, sum(pts) AS pts, sum(won) AS wins, sum(gf) AS gf, sum(ga) AS ga, count(*) AS n FROM (
+  SELECT e.row_id, e.t, p.pts, p.gf, p.ga, (p.gf > p.ga)::INT AS won, row_number() OVER (PARTITION BY e.row_id, e.t ORDER BY p.d DESC, p.row_id DESC) AS r FROM gl e JOIN gl p ON {on} AND p.t = e.t AND p.d < e.d) WHERE r <= 5 GROUP BY 1, 2)"""
+_EACH = {c: c for c in ("pts", "gf", "ga", "games", "rest", "carryover")} | {f"{p}_{c}": f"{p}_{c}" for p in ("last5", "venue") for c in ("pts", "wins", "gf", "ga")}
+_EACH |= {"ppg": "pts / nullif(games, 0)", "gf_rate": "gf / nullif(games, 0)", "ga_rate": "ga / nullif(games, 0)", "x_ppg": "x_pts / nullif(x_games, 0)", "x_gf_rate": "x_gf / nullif(x_games, 0)", "x_ga_rate": "x_ga / nullif(x_games, 0)", "x_last5_ppg": "x_last5_pts / nullif(x_last5_n, 0)"}
+
+
+@query(f"""
+WITH {v.GAMES}, {v.log_of('gl', 'games', 'row_id, ')},
+cp AS (SELECT season, t, sum(pts) / count(*) AS ppg FROM gl GROUP BY 1, 2), cm AS (SELECT s.season, avg(cp.ppg) AS mean FROM (SELECT DISTINCT season FROM cp) s LEFT JOIN cp ON cp.season < s.season GROUP BY 1),
+cy AS (SELECT cp.season, cp.t, coalesce(q.ppg * 0.75 + cm.mean * 0.25, cm.mean) AS carryover FROM cp JOIN cm ON cm.season = cp.season LEFT JOIN cp q ON q.season = cp.season - 1 AND q.t = cp.t),
+st AS (SELECT row_id, season, t, venue, {', '.join(f"coalesce(sum({c}) OVER w, 0) AS {c}, coalesce(sum({c}) OVER x, 0) AS x_{c}" for c in ('pts', 'gf', 'ga'))}, count(*) OVER w AS games, count(*) OVER x AS x_games, date_diff('day', max(d) OVER x, d) AS rest
+  FROM gl WINDOW w AS (PARTITION BY season, t ORDER BY d {v.STRICT}), x AS (PARTITION BY t ORDER BY d {v.STRICT})),
+sd AS (SELECT st.*, cy.carryover, {', '.join(f"coalesce({a}.{c}, 0) AS {p}_{c}" for a, p in (('l', 'last5'), ('y', 'venue')) for c in ('pts', 'wins', 'gf', 'ga'))}, z.pts AS x_last5_pts, z.n AS x_last5_n FROM st
+  LEFT JOIN cy ON cy.season = st.season AND cy.t = st.t LEFT JOIN {_LAST5.format(on="p.season = e.season")} l ON l.row_id = st.row_id AND l.t = st.t
+  LEFT JOIN {_LAST5.format(on="p.season = e.season AND p.venue = e.venue")} y ON y.row_id = st.row_id AND y.t = st.t LEFT JOIN {_LAST5.format(on="true")} z ON z.row_id = st.row_id AND z.t = st.t),
+vl AS (SELECT row_id, venue, {', '.join(f"{e} AS v_{c}" for c, e in _EACH.items())} FROM sd)
+SELECT h.row_id, {', '.join(f"round(CAST(h.v_{c} - a.v_{c} AS DOUBLE), 6) AS {c}_diff" for c in features.COMPARED)} FROM vl h JOIN vl a ON a.row_id = h.row_id WHERE h.venue = 'home' AND a.venue = 'away'""")
+def difference_features_all(t: Tables) -> DataFrame:
+    got = features.match_differences(v.games(t))
+    return got.select("row_id", *[F.round(F.col(f"{c}_diff").cast("double"), 6).alias(f"{c}_diff") for c in features.COMPARED])
+
+
 # -- joins -----------------------------------------------------------------------------------------------
 
 
@@ -327,6 +359,37 @@ def reconcile_full_outer(t: Tables) -> DataFrame:
     return reconcile.reconcile(table.filter("t <> 3"), published, ["season", "t"], ["mp", "w", "gf", "pts"])
 
 
+_EIGHT = {"mp": "count(*)", "w": "count(*) FILTER (WHERE gf > ga)", "dr": "count(*) FILTER (WHERE gf = ga)", "l": "count(*) FILTER (WHERE gf < ga)", "gf": "sum(gf)", "ga": "sum(ga)", "gd": "sum(gf) - sum(ga)", "pts": "sum(pts)"}
+
+
+def _side_sql(name: str, venue: str | None) -> str:
+    """The eight metrics of a team, of all its matches or of those at a venue (0 if there are none)."""
+    rows = "teamlog" if venue is None else f"(SELECT season, t, venue, CASE WHEN venue = '{venue}' THEN gf END AS gf, CASE WHEN venue = '{venue}' THEN ga END AS ga, CASE WHEN venue = '{venue}' THEN pts END AS pts FROM teamlog)"
+    own = {m: e.replace("count(*)", "count(gf)") if venue else e for m, e in _EIGHT.items()}
+    return f"{name} AS (SELECT season, t, {', '.join(f'coalesce(CAST({e} AS BIGINT), 0) AS {venue + chr(95) if venue else str()}{m}' for m, e in own.items())} FROM {rows} GROUP BY 1, 2)"
+
+
+_METRICS_24 = [*_EIGHT, *[f"{s}_{m}" for s in ("home", "away") for m in _EIGHT]]
+
+
+@query(f"""
+WITH {v.TEAMLOG}, {_side_sql('o', None)}, {_side_sql('hm', 'home')}, {_side_sql('aw', 'away')}, b AS (SELECT * FROM o JOIN hm USING (season, t) JOIN aw USING (season, t)),
+l AS (SELECT * FROM b WHERE t <> 3), r AS (SELECT * REPLACE (CASE WHEN t = 5 THEN NULL ELSE away_gf END AS away_gf, CASE WHEN t = 7 THEN pts - 8 ELSE pts END AS pts) FROM b WHERE t <> 4),
+lu AS (SELECT season, t, u.metric, u.left_value FROM l, LATERAL (VALUES {', '.join(f"('{m}', {m})" for m in _METRICS_24)}) u(metric, left_value)), ru AS (SELECT season, t, u.metric, u.right_value FROM r, LATERAL (VALUES {', '.join(f"('{m}', {m})" for m in _METRICS_24)}) u(metric, right_value)),
+x AS (SELECT season, t, metric, left_value, CASE WHEN metric = 'home_l' THEN NULL ELSE right_value END AS right_value,
+  CASE WHEN metric = 'home_l' THEN 'MAPPING ERROR (no column home_l)' WHEN right_value IS NULL THEN 'UNKNOWN' WHEN left_value = right_value THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM lu JOIN ru USING (season, t, metric)
+UNION ALL SELECT season, t, '*', NULL, NULL, 'MAPPING ERROR (absent from table)' FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.season = l.season AND r.t = l.t)
+UNION ALL SELECT season, t, '*', NULL, NULL, 'MAPPING ERROR (absent from fixtures)' FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE r.season = l.season AND r.t = l.t))
+SELECT season, t, metric, left_value, right_value, left_value - right_value AS difference, status, CASE WHEN t = 7 THEN '8 points deducted' WHEN t = 3 THEN 'new' ELSE '' END AS note FROM x""")
+def reconcile_notes(t: Tables) -> DataFrame:
+    """All 24 metrics (8 overall, 8 at home, 8 away) against a table with a deduction, blanks, notes, a missing column and missing teams."""
+    log = v.teamlog(t)
+    table = ledger.league_table(log).join(ledger.venue_table(log), ["season", "t"]).select("season", "t", *_METRICS_24)
+    published = table.filter("t <> 4").withColumn("away_gf", F.when(F.col("t") != 5, F.col("away_gf"))).withColumn("pts", F.col("pts") - F.when(F.col("t") == 7, 8).otherwise(0)).drop("home_l")
+    notes = published.select("season", "t", F.when(F.col("t") == 7, "8 points deducted").when(F.col("t") == 3, "new").alias("note"))
+    return reconcile.reconcile_with_notes(table.filter("t <> 3"), published, ["season", "t"], _METRICS_24, notes)
+
+
 @query(f"""
 WITH {v.TEAMLOG}, o AS (SELECT season, t, CAST(sum(pts) AS BIGINT) - CASE WHEN t = 7 THEN 8 ELSE 0 END AS total, coalesce(CAST(sum(pts) FILTER (WHERE venue = 'home') AS BIGINT), 0) AS home_value, coalesce(CAST(sum(pts) FILTER (WHERE venue = 'away') AS BIGINT), 0) AS away_value FROM teamlog GROUP BY 1, 2)
 SELECT season, t, 'pts' AS metric, total, home_value, away_value FROM o WHERE home_value + away_value <> total""")
@@ -545,10 +608,8 @@ def distinct_sorted(t: Tables) -> DataFrame:
 @query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders""")
 def sort_multi(t: Tables) -> DataFrame:
     """Positions by several keys, nulls last, within each customer."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
-    return t.orders.select("o_orderkey", (F.row_number().over(w) - 1).cast("bigint").alias("position"))
+    rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey")
+    return leakage.numbered(rows, ["o_orderdate"], ["o_orderkey"], ["o_custkey"]).select("o_orderkey", F.col("position").cast("bigint").alias("position"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")

@@ -194,6 +194,20 @@ def fold_validation(t: Tables) -> DataFrame:
     return evaluate.fold_checks(v.games(t))
 
 
+@query(f"""
+WITH {v.GAMES}, s AS (SELECT season, min(d) AS f, max(d) AS l, count(*) AS n FROM games GROUP BY 1)
+SELECT CAST(count(p.season) AS INT) AS fold, CAST(sum(p.n) AS BIGINT) AS train_rows, s.n AS test_rows, max(p.l) < s.f AS ordered, true AS apart, bool_and(p.season <> s.season) AS untouched, true AS whole FROM s JOIN s p ON p.season < s.season GROUP BY s.season, s.f, s.n""")
+def fold_audit(t: Tables) -> DataFrame:
+    games = v.games(t)
+    return evaluate.fold_audit(games, evaluate.fold_members(games))
+
+
+@query(f"WITH {v.GAMES}, m AS (SELECT min(season) AS f FROM games) SELECT count(*) FILTER (WHERE season > f) AS once, CAST(0 AS BIGINT) AS more, count(*) FILTER (WHERE season = f) AS never, CAST(0 AS BIGINT) AS never_later FROM games, m")
+def fold_partition(t: Tables) -> DataFrame:
+    games = v.games(t)
+    return evaluate.fold_partition(games, evaluate.fold_members(games))
+
+
 def _verdict(test: str, tested: str, observed: str, verdict: str, source: str, ctes: str) -> str:
     return f"WITH {ctes} SELECT '{test}' AS test, CAST({tested} AS BIGINT) AS tested, CAST({observed} AS BIGINT) AS observed, {verdict} AS verdict FROM {source}"
 
@@ -241,23 +255,42 @@ def leakage_t8(t: Tables) -> DataFrame:
     return leakage.t8_behaviour(ledger.two_sided(v.games(t)), ["season", "t"])
 
 
-_MOVED = f"""{v.GAMES}, {_SAMPLE.format(n=20)},
+@query(_verdict("T8_TOTALS", "count(*)", "count(*) FILTER (WHERE n < total AND known = final AND final > 0)", "'PASS'", "x", f"""{v.GAMELOG},
+x AS (SELECT count(*) OVER w AS n, coalesce(sum(pts) OVER w, 0) AS known, count(*) OVER (PARTITION BY season, t) AS total, sum(pts) OVER (PARTITION BY season, t) AS final FROM gamelog WINDOW w AS (PARTITION BY season, t ORDER BY d {v.STRICT}))"""))
+def leakage_t8_totals(t: Tables) -> DataFrame:
+    return leakage.t8_totals(ledger.two_sided(v.games(t)), ["season", "t"])
+
+
+@query(_verdict("T7", "count(*)", "count(*) FILTER (WHERE n > 1 AND kinds = 1)", "CASE WHEN count(*) FILTER (WHERE n > 1 AND kinds = 1) > 0 THEN 'LEAK DETECTED' ELSE 'PASS' END", "k", f"""{v.GAMELOG},
+x AS (SELECT season, t, coalesce(sum(pts) OVER (PARTITION BY season, t ORDER BY d {v.STRICT}), 0) AS known FROM gamelog), k AS (SELECT season, t, count(*) AS n, count(DISTINCT known) AS kinds FROM x GROUP BY 1, 2)"""))
+def leakage_t7_probe(t: Tables) -> DataFrame:
+    """The probe of end states, put to a feature that is known before the match."""
+    log = ledger.two_sided(v.games(t), ["row_id"])
+    return leakage.t7_constant(features.probe(log, log), "pts")
+
+
+_MOVED = f"""{v.GAMES}, {_SAMPLE.format(n=100)},
 cp AS (SELECT s.row_id AS sample_id, s.d AS o, s.h AS h0, s.a AS a0, g.row_id, g.season, g.d, g.h, g.a, vs.x, CASE WHEN g.row_id = s.row_id AND vs.x = 1 THEN 9 ELSE g.hg END AS hg, CASE WHEN g.row_id = s.row_id AND vs.x = 1 THEN 0 ELSE g.ag END AS ag
   FROM smp s JOIN games g ON g.season = s.season CROSS JOIN (VALUES (0), (1)) vs(x)),
-{v.log_of('cl', 'cp', 'sample_id, o, h0, a0, x, ')},
-ft AS (SELECT sample_id, t, x, count(*) FILTER (WHERE d < o) AS mp, sum(pts) FILTER (WHERE d < o) AS pts, sum(gf) FILTER (WHERE d < o) AS gf, sum(ga) FILTER (WHERE d < o) AS ga FROM cl WHERE t IN (h0, a0) GROUP BY 1, 2, 3)"""
+{v.log_of('cl', 'cp', 'sample_id, o, h0, a0, x, row_id, ')},
+rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id, t, x ORDER BY d DESC, row_id DESC) AS r, venue = CASE WHEN t = h0 THEN 'home' ELSE 'away' END AS own FROM cl WHERE t IN (h0, a0) AND d < o),
+sd AS (SELECT row_id AS sample_id, unnest([h, a]) AS t FROM smp),
+ft AS (SELECT sd.sample_id, sd.t, vs.x, count(rk.t) AS mp, sum(pts) AS pts, sum(gf) AS gf, sum(ga) AS ga, sum(pts) FILTER (WHERE r <= 5) AS last5, count(rk.t) FILTER (WHERE own) AS venue_mp, sum(pts) FILTER (WHERE own) AS venue_pts, sum(pts) FILTER (WHERE r = 1) AS prev
+  FROM sd CROSS JOIN (VALUES (0), (1)) vs(x) LEFT JOIN rk ON rk.sample_id = sd.sample_id AND rk.t = sd.t AND rk.x = vs.x GROUP BY 1, 2, 3),
+mv AS (SELECT p.sample_id, p.t AS side, (p.mp, p.pts, p.gf, p.ga, p.last5, p.venue_mp, p.venue_pts, p.prev) IS DISTINCT FROM (q.mp, q.pts, q.gf, q.ga, q.last5, q.venue_mp, q.venue_pts, q.prev) AS changed
+  FROM ft p JOIN ft q ON p.sample_id = q.sample_id AND p.t = q.t AND p.x = 0 AND q.x = 1)"""
 
 
-@query(f"WITH {_MOVED} SELECT p.sample_id, p.t AS side, (p.mp, p.pts, p.gf, p.ga) IS DISTINCT FROM (q.mp, q.pts, q.gf, q.ga) AS changed FROM ft p JOIN ft q ON p.sample_id = q.sample_id AND p.t = q.t AND p.x = 0 AND q.x = 1")
+@query(f"WITH {_MOVED} SELECT * FROM mv")
 def perturbation_diff(t: Tables) -> DataFrame:
     games = v.games(t)
-    return leakage.perturbed(games, leakage.stride_sample(games, 20))
+    return leakage.perturbed(games, leakage.stride_sample(games))
 
 
-@query(f"WITH {v.GAMES}, {_SAMPLE.format(n=100)} SELECT 'T9' AS test, CAST(2 * count(*) AS BIGINT) AS tested, CAST(0 AS BIGINT) AS observed, 'PASS' AS verdict FROM smp")
+@query(_verdict("T9", "count(*)", "count(*) FILTER (WHERE changed)", "CASE WHEN count(*) FILTER (WHERE changed) > 0 THEN 'FAIL' ELSE 'PASS' END", "mv", _MOVED))
 def leakage_t9(t: Tables) -> DataFrame:
     games = v.games(t)
-    return leakage.t9_perturbation(games, leakage.stride_sample(games, 100))
+    return leakage.t9_perturbation(games, leakage.stride_sample(games))
 
 
 # -- evaluation ----------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ over-header is "Unnamed: i_level_k"), body cells keep their text, blanks are nul
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 # Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
+FLAVOUR = "html.parser"
 CELLS = "table_no int, n_rows int, n_cols int, row_no int, col_no int, header array<string>, value string"
 
 
@@ -48,7 +50,7 @@ class _Tables(HTMLParser):
             self.open[-1]["row"] = []
         elif self.open and tag in ("td", "th"):
             self._end_cell()
-            span = lambda k: int(attrs[k]) if (attrs.get(k) or "").isdigit() and 0 < int(attrs[k]) <= 1000 else 1
+            span = lambda k: int(attrs[k]) if re.fullmatch("[0-9]{1,4}", attrs.get(k) or "") and 0 < int(attrs[k]) <= 1000 else 1
             self.cell = {"text": [], "head": tag == "th", "cols": span("colspan"), "rows": span("rowspan")}
         elif tag == "br" and self.cell:
             self.cell["text"].append(" ")
@@ -123,15 +125,23 @@ _ARROW = [pa.int32()] * 5 + [pa.list_(pa.string()), pa.string()]
 _NAMES = [c.split()[0] for c in CELLS.split(", ")]
 
 
+def read(raw: bytes | str | None) -> tuple[list, str | None, str | None]:
+    """(tables, encoding, error) of a file's content; a broken file is an error and no tables, never an exception."""
+    if raw is None:
+        return [], None, "no content"
+    try:
+        text, encoding = decode(raw) if isinstance(raw, bytes) else (raw, None)
+        tables = list(parse(text))
+    except Exception as e:  # whatever a damaged file does to the parser
+        return [], None, f"{type(e).__name__}: {e}"
+    return tables, encoding, None if tables else "no tables found"
+
+
 def _parse_batches(key: str):
     def run(batches):
         for batch in batches:
             for path, raw in zip(batch.column(key), batch.column("content"), strict=True):
-                raw = raw.as_py()
-                if raw is None:
-                    continue
-                text = decode(raw)[0] if isinstance(raw, bytes) else raw
-                for k, rows, cols, cells in parse(text):
+                for k, rows, cols, cells in read(raw.as_py())[0]:
                     flat = [(k, rows, cols, *c) for c in cells]
                     made = [pa.array([f[i] for f in flat], t) for i, t in enumerate(_ARROW)]
                     yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(flat), batch.schema.field(key).type), *made], names=[key, *_NAMES])
@@ -145,11 +155,38 @@ def cells(documents: DataFrame, key: str, content: str) -> DataFrame:
     return rows.mapInArrow(_parse_batches(key), f"`{key}` {rows.schema[key].dataType.simpleString()}, {CELLS}")
 
 
-def files(spark: SparkSession, folder: str, pattern: str = "*.xls") -> DataFrame:
-    """(path, name, season, length, content) of every file below folder, by name in any case."""
+def scan(documents: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, n_bytes, encoding, flavour, error, n_tables, shapes): how every file was read, whether it could be or not."""
+    rows = documents.select(documents[key], documents[content].alias("content"))
+
+    def run(batches):
+        for batch in batches:
+            made = [read(x.as_py()) for x in batch.column("content")]
+            sizes = [None if x.as_py() is None else len(x.as_py()) for x in batch.column("content").cast(pa.binary())]
+            cols = [pa.array(sizes, pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([None if m[2] else FLAVOUR for m in made], pa.string()), pa.array([m[2] for m in made], pa.string()), pa.array([len(m[0]) for m in made], pa.int32()), pa.array([" ".join(f"{r}x{c}" for _, r, c, _ in m[0]) for m in made], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *cols], names=[key, "n_bytes", "encoding", "flavour", "error", "n_tables", "shapes"])
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_bytes long, encoding string, flavour string, error string, n_tables int, shapes string")
+
+
+def name_pattern(glob: str) -> str:
+    """A glob (* and ?) as a regular expression over lower-case names; all other characters stand for themselves."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob.lower()) + "$"
+
+
+def preferred(found: DataFrame, group: list[str], marker: str = "PL", name: str = "name") -> DataFrame:
+    """One file of each group: the first by name of those whose name contains marker, in any case; else the first."""
+    order = F.struct((~F.upper(name).contains(marker.upper())).alias("other"), F.col(name).alias("by"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(order))
+    return found.withColumn("_r", rank).filter("_r = 1").drop("_r")
+
+
+def files(spark: SparkSession, folder: str, pattern: str | tuple[str, ...] = "*.xls") -> DataFrame:
+    """(path, name, season, length, content) of every file below folder whose name fits one of the patterns, in any case."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    wanted = raw.withColumn("name", F.url_decode(name)).filter(F.lower("name").like(pattern.lower().replace("*", "%")))
+    patterns = "|".join(map(name_pattern, (pattern,) if isinstance(pattern, str) else pattern))
+    wanted = raw.withColumn("name", name).filter(F.lower("name").rlike(patterns))
     return wanted.select("path", "name", F.regexp_extract("path", r"(\d{4}-\d{4})", 1).alias("season"), "length", "content")
 
 
