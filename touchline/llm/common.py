@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+import importlib
 import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import touchline.llm
-
-# Functions sent to executors travel by value, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(touchline.llm)
+# Functions sent to executors travel by value, so executors need no copy of this package; nor may a module of it
+# hold the name of a package above this one.
+cloudpickle.register_pickle_by_value(importlib.import_module(__package__))
 
 HELD_OUT_FOLDS = 5
 #: Columns that an operator adds for itself start so; tables bring no such names.
 OWN = "_touchline_"
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker is handed at once by bytes, whatever the length of texts (a longer row comes alone)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +53,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to shared storage and read again: cuts lineage and survives lost executors."""
+    small_batches(df.sparkSession)
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -74,11 +83,11 @@ def sieve(keys: DataFrame, key: str, most_bits: int = 1 << 26):
     table[words.column("w").to_numpy()] = words.column("b").to_numpy()
     shipped = spark.sparkContext.broadcast(table.tobytes())
 
-    @F.pandas_udf("boolean")
-    def maybe(k: pd.Series) -> pd.Series:
-        own = k.to_numpy(np.int64) % bits
+    @F.arrow_udf("boolean")
+    def maybe(k: pa.Array) -> pa.Array:
+        own = k.to_numpy(zero_copy_only=False) % bits
         word = np.frombuffer(shipped.value, np.uint64)[own >> 6]
-        return pd.Series((word >> (own & 63).astype(np.uint64)) & np.uint64(1) == 1)
+        return pa.array((word >> (own & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
     return maybe
 

@@ -62,7 +62,7 @@ def inputs(buf: np.ndarray, offs: np.ndarray, n_chars: np.ndarray) -> tuple[np.n
     live = np.flatnonzero(size)
     for k in range(1, 9):
         if len(live):
-            kinds[live, k] = np.add.reduceat((cls == k).astype(np.int64), offs[:-1][live])
+            kinds[live, k] = np.add.reduceat(cls == k, offs[:-1][live], dtype=np.int64)
     some = np.maximum(counts, 1)
     distinct = np.bincount(at, minlength=n)
     top = np.zeros(n)

@@ -14,6 +14,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+STRETCH = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -102,8 +103,38 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of words in lower case (A-Z only)."""
-    return span_hashes(prefix_sums(LOWER[buf]), starts, ends)
+    """Hashes of words in lower case (A-Z only). Taken in stretches of about STRETCH bytes, whatever a row's length."""
+    if len(buf) <= 2 * STRETCH:
+        return span_hashes(prefix_sums(LOWER[buf]), starts, ends)
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(starts, base + STRETCH)))
+        part = LOWER[buf[base : int(ends[hi - 1])]]
+        out[lo:hi] = span_hashes(prefix_sums(part), starts[lo:hi] - base, ends[lo:hi] - base)
+        lo = hi
+    return out
+
+
+def word_stretches(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of stretches, their rows): rows of more than 2 * STRETCH bytes are cut where no word is cut."""
+    if not (np.diff(offs) > 2 * STRETCH).any():
+        return offs, np.arange(len(offs) - 1)
+    cuts, rows = [], []
+    for row in range(len(offs) - 1):
+        at, end = int(offs[row]), int(offs[row + 1])
+        cuts.append(at)
+        rows.append(row)
+        while end - at > 2 * STRETCH:
+            own = buf[at + STRETCH : end]
+            gap = next((at + STRETCH + lo + int(np.argmin(w)) for lo in range(0, len(own), STRETCH) if not (w := is_word[own[lo : lo + STRETCH]]).all()), None)
+            if gap is None:
+                break
+            at = gap
+            cuts.append(at)
+            rows.append(row)
+    return np.array([*cuts, int(offs[-1])], np.int64), np.array(rows, np.int64)
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
