@@ -34,7 +34,8 @@ from touchline.llm import common
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
-FRAMES_A_READ = 64
+FRAMES_A_READ = 8
+READ_BYTES = 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -215,9 +216,16 @@ def _read(batches):
 
 
 def read(index: DataFrame) -> DataFrame:
-    """One row per record of the archives that the index names; payloads are held against their digests."""
-    units = index.select("bundle", F.expr(f"frame div {FRAMES_A_READ}").cast("int").alias("group")).distinct()
-    return units.mapInArrow(_read, _PAGES)
+    """One row per record of the archives that the index names; payloads are held against their digests.
+
+    A unit of work is a run of FRAMES_A_READ frames. Units are rows of a few bytes that stand for megabytes, so
+    they are dealt out by the packed bytes behind them, not by their own size.
+    """
+    frames = index.select("bundle", "frame", "frame_bytes").distinct()
+    units = frames.groupBy("bundle", F.expr(f"frame div {FRAMES_A_READ}").cast("int").alias("group")).agg(F.sum("frame_bytes").alias("bytes"))
+    units = common.materialize(units, "warc-units")
+    tasks = max(1, -(-(units.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES))
+    return units.select("bundle", "group").repartition(tasks).mapInArrow(_read, _PAGES)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
