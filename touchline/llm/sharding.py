@@ -2,17 +2,19 @@
 
 A row's key is hashed to 60 bits; a shard is a prefix of them. The directory starts with one empty
 prefix, and only prefixes whose rows exceed the byte limit split on another bit. Splitting needs no
-pass over the rows: one aggregation gives the bytes of at most `CELLS` cells (the finest prefixes),
-from which the directory is computed; only cells that are still too large are counted again by
-further bits. The directory has at most `CELLS` entries, so it is broadcast; rows are never shuffled to
-be assigned.
+pass over the rows for each bit: one aggregation gives the bytes of all cells of `LEVELS[0]` bits, at most 65,536, from
+which the first part of the directory is computed; it is broadcast. Cells that are still too large are counted by more
+bits, level by level. Those parts of the directory stay tables of a row a cell, computed in groups of one
+cell of the level before (at most 4096 rows, however hot a key is) and met by joins, so no part that grows with
+the input comes to the driver. Most inputs need one level: 65,536 shards of 16 MiB are a terabyte.
 
 Rows that no bit separates (equal keys, or one row over the limit) overflow into pages: tasks fill
 pages of at most the limit in scan order, so a hot key needs no group. A single row larger than the limit has
 a page of its own, the only kind of shard over the limit.
 
 Defined results: null or empty texts weigh 0 bytes; a null key is the text "null"; repeated rows
-are rows; an empty table has no shards.
+are rows; an empty table has no shards; columns of the table with the names of new ones (shard, depth, n_bytes) are
+kept apart by `prefix`.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 from touchline.llm import common
 
 BITS = 60
-ROUND_BITS = 20
-CELLS = 1 << ROUND_BITS
+LEVELS = (16, 28, 40, 52, 60)
 LIMIT_BYTES = 16 << 20
-_H = f"{common.OWN}hash"
+#: The registered query's limit; small, so that small tables split as well.
+QUERY_LIMIT_BYTES = 256 << 10
+_H, _DEPTH, _OVER = f"{common.OWN}hash", f"{common.OWN}depth", f"{common.OWN}over"
 
 
 def key_hash(col) -> object:
@@ -36,100 +39,118 @@ def key_hash(col) -> object:
     return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit("null")).cast("binary")), 1, BITS // 4), 16, 10).cast("bigint")
 
 
-def split(prefix: np.ndarray, size: np.ndarray, bits: int, depth: int, limit: int) -> dict[tuple[int, int], int]:
-    """Leaves {(depth, prefix): bytes} for cells of `bits` bits of which the first `depth` are split already.
-
-    A leaf at depth `bits` may exceed the limit; it needs more bits.
-    """
-    leaves: dict[tuple[int, int], int] = {}
-    open_ = np.ones(len(prefix), bool)
+def split(cell: np.ndarray, size: np.ndarray, bits: int, depth: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(depth of its shard, whether that is over the limit) of each cell of `bits` bits, of which the first `depth` are split already."""
+    found, over = np.full(len(cell), bits, np.int32), np.zeros(len(cell), bool)
+    open_ = np.ones(len(cell), bool)
     for d in range(depth, bits + 1):
         if not open_.any():
             break
-        own, slot = np.unique(prefix[open_] >> (bits - d), return_inverse=True)
-        total = np.bincount(slot, size[open_], len(own))
-        done = (total <= limit) | (d == bits)
-        leaves.update({(d, int(p)): int(t) for p, t in zip(own[done], total[done], strict=True)})
+        _, slot = np.unique(cell[open_] >> (bits - d), return_inverse=True)
+        total = np.bincount(slot, size[open_])
         at = np.flatnonzero(open_)
-        open_[at[done[slot]]] = False
-    return leaves
-
-
-def directory(hashes: DataFrame, limit: int) -> dict[tuple[int, int], int]:
-    """Leaves {(depth, prefix): bytes} of rows with columns h and n_bytes."""
-    leaves: dict[tuple[int, int], int] = {}
-    bits, depth, rows = ROUND_BITS, 0, hashes
-    while True:
-        cells = rows.groupBy(F.shiftright("h", BITS - bits).alias("p")).agg(F.sum("n_bytes").alias("s")).toArrow()
-        made = split(cells.column("p").to_numpy(), cells.column("s").to_numpy(), bits, depth, limit)
-        large = [p for (d, p), s in made.items() if d == bits and s > limit]
-        leaves |= {k: s for k, s in made.items() if not (k[0] == bits and s > limit)}
-        if not large or bits == BITS:
-            return leaves | {(bits, p): made[(bits, p)] for p in large}
-        spark = hashes.sparkSession
-        more = max(1, min(ROUND_BITS - max(1, len(large) - 1).bit_length(), BITS - bits))
-        again = spark.createDataFrame(pa.table({"p": pa.array(large, pa.int64())}))
-        rows = hashes.join(F.broadcast(again), F.shiftright("h", BITS - bits) == F.col("p"), "left_semi")
-        depth, bits = bits, bits + more
-
-
-def _pages(limit: int):
+        done = total[slot] <= limit
+        found[at[done]] = d
+        open_[at[done]] = False
+        if d == bits:
+            over[at[~done]] = True
+    return found, over
+
+
+_PART = "cell long, depth int, over boolean"
+
+
+def _parts(cells: pa.Table, bits: int, depth: int, limit: int) -> pa.Table:
+    cell = cells.column("cell").to_numpy()
+    found, over = split(cell, cells.column("size").to_numpy().astype(float), bits, depth, limit)
+    return pa.table({"cell": cell, "depth": pa.array(found), "over": pa.array(over)})
+
+
+def _splitter(bits: int, depth: int, limit: int):
+    def run(cells: pa.Table) -> pa.Table:
+        return _parts(cells, bits, depth, limit)
+
+    return run
+
+
+def directory(hashes: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """[(bits, table of (cell, depth, over))]: the directory by levels; over: cells that the next level splits, if there is one.
+
+    hashes: h and n_bytes.
+    """
+    made: list[tuple[int, DataFrame]] = []
+    rows, before = hashes, 0
+    for bits in LEVELS:
+        cells = rows.groupBy(F.shiftright("h", BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("size"))
+        if not made:
+            part = _parts(cells.toArrow(), bits, 0, limit)  # at most 2 ** LEVELS[0] rows
+            own = hashes.sparkSession.createDataFrame(part)
+        else:
+            own = common.materialize(cells.groupBy(F.shiftright("cell", bits - before).alias("base")).applyInArrow(_splitter(bits, before, limit), _PART), "shard-cells")
+        made.append((bits, own))
+        large = own.filter("over").select(F.col("cell").alias("large"))
+        if large.isEmpty():
+            break
+        rows, before = rows.join(large, F.shiftright("h", BITS - bits) == F.col("large"), "left_semi"), bits
+    return made
+
+
+def _pages(limit: int, shard: str, n_bytes: str):
     def run(batches):
         from pyspark import TaskContext
 
-        task, page, used, last = TaskContext.get().partitionId(), {}, {}, None
+        task, page, used = TaskContext.get().partitionId(), {}, {}
         for batch in batches:
             out = []
-            for base, over, n in zip(batch.column("shard").to_pylist(), batch.column("overflows").to_pylist(), batch.column("n_bytes").to_pylist(), strict=True):
-                if over:
-                    if base in used and used[base] + n > limit:
-                        page[base] = page.get(base, 0) + 1
-                        used[base] = 0
-                    used[base] = used.get(base, 0) + n
-                    last = f"{base}+{task}.{page.get(base, 0)}"
-                out.append(last if over else base)
-            names = [c for c in batch.schema.names if c != "overflows"]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "shard" else batch.column(c) for c in names], names=names)
+            for base, n in zip(batch.column(shard).to_pylist(), batch.column(n_bytes).to_pylist(), strict=True):
+                if base in used and used[base] + n > limit:
+                    page[base] = page.get(base, 0) + 1
+                    used[base] = 0
+                used[base] = used.get(base, 0) + n
+                out.append(f"{base}+{task}.{page.get(base, 0)}")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == shard else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
     return run
 
 
-def assign(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
-    """The columns `keep`, shard (its bits; overflow pages carry "+task.page"), depth and n_bytes."""
+def assign(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES, prefix: str = "") -> DataFrame:
+    """The columns `keep`, shard (its bits; overflow pages carry "+task.page"), depth and n_bytes. prefix: put before these three names."""
+    shard, depth, n_bytes = (f"{prefix}{c}" for c in ("shard", "depth", "n_bytes"))
     sizes = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("bigint")
-    leaves = directory(docs.select(key_hash(docs[key]).alias("h"), sizes.alias("n_bytes")), limit)
-    depths = sorted({d for d, _ in leaves})
-    spark = docs.sparkSession
-    wide = docs.select(*[docs[c] for c in keep], key_hash(docs[key]).alias(_H), sizes.alias("n_bytes"))
-    if not leaves:
-        return wide.select(*keep, F.lit("").alias("shard"), F.lit(0).alias("depth"), "n_bytes")
-    # the directory, depth by depth: a row's leaf is the one of its prefixes that is listed
-    own = spark.createDataFrame(pa.table({"d": pa.array([d for d, _ in leaves], pa.int32()), "p": pa.array([p for _, p in leaves], pa.int64()), "o": pa.array([s > limit for s in leaves.values()])}))
-    leaf = None
-    for d in depths:
-        prefix, over = f"{common.OWN}p{d}", f"{common.OWN}o{d}"
-        here = F.broadcast(own.filter(F.col("d") == d).select(F.col("p").alias(prefix), F.col("o").alias(over)))
-        wide = wide.join(here, F.shiftright(wide[_H], BITS - d) == here[prefix], "left")
-        found = F.struct(F.lit(d).alias("depth"), (F.lpad(F.bin(prefix), d, "0") if d else F.lit("")).alias("shard"), F.col(over).alias("overflows"))
-        leaf = F.when(F.col(prefix).isNotNull(), found) if leaf is None else leaf.when(F.col(prefix).isNotNull(), found)
-    named = wide.withColumn(f"{common.OWN}leaf", leaf).select(*keep, *[F.col(f"{common.OWN}leaf.{c}").alias(c) for c in ("shard", "depth")], "n_bytes", F.col(f"{common.OWN}leaf.overflows").alias("overflows"))
-    return _paged(named, keep, limit) if any(s > limit for s in leaves.values()) else named.drop("overflows")
-
-
-def _paged(named: DataFrame, keep: list[str], limit: int) -> DataFrame:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name != "overflows")
-    return named.mapInArrow(_pages(limit), fields)
-
-
-def write(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, **names) -> DataFrame:
-    """Writes docs as one folder a shard and returns (shard, rows, bytes) as written."""
-    made = assign(docs, docs.columns, limit=limit, **names)
-    made.repartition("shard").drop("depth", "n_bytes").write.partitionBy("shard").parquet(path)
-    return assign(docs, [], limit=limit, **names).groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
+    levels = directory(docs.select(key_hash(docs[key]).alias("h"), sizes.alias("n_bytes")), limit)
+    rows = docs.select(*[docs[c] for c in keep], key_hash(docs[key]).alias(_H), sizes.alias(n_bytes))
+    found = over = None
+    for i, (bits, part) in enumerate(levels):
+        cell, d, o = (f"{common.OWN}{c}{i}" for c in ("cell", "depth", "over"))
+        last = i == len(levels) - 1
+        part = part.select(F.col("cell").alias(cell), F.col("depth").alias(d), F.col("over").alias(o))
+        part = part if last else part.filter(~F.col(o))
+        rows = rows.join(F.broadcast(part) if i == 0 else part, F.shiftright(rows[_H], BITS - bits) == part[cell], "left")
+        found = F.col(d) if found is None else F.coalesce(found, F.col(d))
+        over = F.coalesce(F.col(o), F.lit(False)) if last else None
+    bits = F.lpad(F.bin(_H), BITS, "0")
+    rows = rows.withColumns({_DEPTH: found, _OVER: over})
+    rows = rows.select(*keep, F.substring(bits, F.lit(1), F.col(_DEPTH)).alias(shard), F.col(_DEPTH).alias(depth), n_bytes, _OVER)
+    whole = rows.filter(~F.col(_OVER)).drop(_OVER)
+    if len(levels) < len(LEVELS):
+        return whole
+    pages = rows.filter(F.col(_OVER)).drop(_OVER)
+    return whole.unionByName(pages.mapInArrow(_pages(limit, shard, n_bytes), whole.schema))
+
+
+def write(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, text: str = "text", **names) -> DataFrame:
+    """Writes docs as one folder a shard and returns (shard, n_rows, n_bytes), counted in what was written."""
+    made = assign(docs, docs.columns, limit=limit, text=text, prefix=common.OWN, **names).drop(f"{common.OWN}depth", f"{common.OWN}n_bytes")
+    folder = f"{common.OWN}shard" if "shard" in (c.lower() for c in docs.columns) else "shard"
+    made = made.withColumnRenamed(f"{common.OWN}shard", folder)
+    made.repartition(folder).write.partitionBy(folder).parquet(path)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
+    back = docs.sparkSession.read.schema(kinds).parquet(path)
+    return back.groupBy(back[folder].alias("shard")).agg(F.count("*").alias("n_rows"), F.sum(F.coalesce(F.octet_length(back[text]), F.lit(0)).cast("long")).alias("n_bytes"))
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
-    return assign(common.table(spark, sf_dir, "documents"), ["doc_id"])
+    return assign(common.table(spark, sf_dir, "documents"), ["doc_id"], limit=QUERY_LIMIT_BYTES)
 
 
 OP6_SQL = f"""
@@ -138,6 +159,6 @@ WITH r AS (
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
 cell AS (SELECT d::INTEGER AS d, h >> (60 - d::INTEGER) AS p, sum(n_bytes) AS s FROM r, range(0, 21) t(d) GROUP BY 1, 2),
 leaf AS (
-  SELECT r.doc_id, r.n_bytes, r.h, min(c.d) AS depth FROM r JOIN cell c ON c.p = r.h >> (60 - c.d) AND c.s <= {LIMIT_BYTES} GROUP BY 1, 2, 3)
+  SELECT r.doc_id, r.n_bytes, r.h, min(c.d) AS depth FROM r JOIN cell c ON c.p = r.h >> (60 - c.d) AND c.s <= {QUERY_LIMIT_BYTES} GROUP BY 1, 2, 3)
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard, depth, n_bytes FROM leaf
 """
