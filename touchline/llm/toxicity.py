@@ -1,11 +1,15 @@
 """Toxicity scores from class-conditional Kneser-Ney models over the letters of words.
 
-Words (as in `textbytes.ALNUM`, lower case) are spelled as bytes with an end mark; a symbol's
-context is the five bytes before it, cut at the word's start. The six-gram counts are kept per
-class, all shorter contexts are shared: a rare or unseen spelling backs off, in both classes, to
-the same continuation counts, so only evidence moves the comparison:
+Words (as in `textbytes.ALNUM`, lower case) are spelled as bytes with an end mark; a symbol's context is the five
+bytes before it, cut at the word's start (contexts across words told held-out rows apart less well; the README has
+the figures). The six-gram counts are kept per class; the continuation counts
+of all shorter orders, five to one, are shared: a rare or unseen spelling backs off, in both classes, to
+the same counts, so only evidence moves the comparison:
 
-    P_c(b | ctx) = (max(n_c(ctx b) - D, 0) + D * N1_c(ctx) * P_shared(b | ctx')) / n_c(ctx)
+    P_c(b | ctx) = (max(n_c(ctx b) - D, 0) + D * N1_c(ctx) * P_5(b | ctx')) / n_c(ctx)
+    P_k(b | ctx) = (max(N(ctx b) - D, 0) + D * kinds(ctx) * P_(k-1)(b | ctx')) / sum N(ctx .), P_0 = 1/256
+
+N counts the different bytes seen before a string, kinds the different bytes seen after one.
 
 A text's evidence is the difference of its toxic and ordinary log-likelihoods, normalised by
 length: over the whole text per word, and over its two most toxic words. A logistic calibration of
@@ -34,7 +38,6 @@ from touchline.llm import common
 from touchline.llm import textbytes as tb
 
 ORDER = 6
-SHARED_ORDERS = (4, 2)
 DISCOUNT = 0.75
 SHIPPED_GRAMS = 1 << 21
 CALIBRATION_ROWS = 12_000
@@ -95,18 +98,21 @@ def _count(batches):
 
 
 def _shared(grams: DataFrame) -> DataFrame:
-    """(suffix of four bytes, its probability under the shared continuation counts)."""
+    """(g, p): the strings of five bytes and the probability of their last byte under the shared continuation counts."""
+    levels = [grams.select(F.col("gram").alias("g"))]
+    for order in range(ORDER - 1, 0, -1):  # the strings before hold each longer string once
+        own = levels[-1].groupBy(F.expr(f"g & {(1 << 8 * order) - 1}").alias("g")).agg(F.count("*").alias("n"))
+        levels.append(common.materialize(own, "kn-continuations"))
     lower = None
-    for order in reversed(SHARED_ORDERS):
-        own = grams.groupBy(F.expr(f"gram & {(1 << 8 * order) - 1}").alias("g")).agg(F.count("*").alias("n"))
+    for order, own in enumerate(reversed(levels[1:]), 1):
         ctx = own.groupBy(F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("tot"), F.count("*").alias("kinds"))
         own = own.join(ctx, F.shiftright(own["g"], 8) == ctx["c"])
         below = F.lit(1 / 256)
         if lower is not None:
-            own = own.join(lower.withColumnRenamed("g", "g0"), F.expr(f"g & {(1 << 8 * SHARED_ORDERS[-1]) - 1}") == F.col("g0"))
-            below = F.col("p")
+            own = own.join(lower.toDF("g0", "p0"), F.expr(f"g & {(1 << 8 * (order - 1)) - 1}") == F.col("g0"))
+            below = F.col("p0")
         p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * below) / F.col("tot")
-        lower = own.select("g", p.alias("p"))
+        lower = common.materialize(own.select("g", p.alias("p")), "kn-shared")
     return lower
 
 
@@ -134,7 +140,7 @@ def fit_tables(train: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, int]]
     shared = _shared(grams)
     by_gram = (
         grams.join(ctx, F.shiftright(grams["gram"], 8) == ctx["ctx"])
-        .join(shared, F.expr("gram & 4294967295") == shared["g"])
+        .join(shared, F.expr(f"gram & {(1 << 8 * (ORDER - 1)) - 1}") == shared["g"])
         .select(F.col("gram").alias("key"), F.log(p("toxic") / p("plain")).alias("llr"))
     )
     by_ctx = ctx.select(F.col("ctx").alias("key"), F.log(back("toxic") / back("plain")).alias("llr"))
@@ -161,9 +167,25 @@ def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.
 
 def evidence(buf, offs, by_gram, by_ctx) -> np.ndarray:
     """Per row: mean log ratio per word, those of the two most toxic words, log(1 + words)."""
-    grams, begin, first = spell(buf, offs)
+    cuts, owner = tb.word_stretches(buf, offs, tb.ALNUM)
+    if len(owner) == len(offs) - 1:
+        part = _evidence(buf, offs, by_gram, by_ctx)
+    else:  # a long row is scored stretch by stretch
+        part = np.concatenate([_evidence(buf[a:b], np.array([0, b - a]), by_gram, by_ctx) for a, b in zip(cuts, cuts[1:], strict=False)])
     n = len(offs) - 1
-    out = np.zeros((n, 4))
+    total, words = np.bincount(owner, part[:, 0], n), np.bincount(owner, part[:, 3], n)
+    best, rows = np.concatenate([part[:, 1], part[:, 2]]), np.concatenate([owner, owner])
+    order = np.lexsort((-best, rows))
+    first = np.searchsorted(rows[order], np.arange(n))
+    tops = [best[order[first + k]] if n else np.zeros(0) for k in (0, 1)]
+    return np.stack([total / np.maximum(words, 1), *(np.where(np.isfinite(x), x, 0.0) for x in tops), np.log1p(words)], 1)
+
+
+def _evidence(buf, offs, by_gram, by_ctx) -> np.ndarray:
+    """Per row: sum of the log ratios, those of the two most toxic words (-inf: there is none), number of words."""
+    grams, begin, first = spell(buf, offs)
+    out = np.zeros((len(offs) - 1, 4))
+    out[:, 1:3] = -np.inf
     if not len(begin):
         return out
     ratio, found = look_up(by_gram, grams)
@@ -173,11 +195,11 @@ def evidence(buf, offs, by_gram, by_ctx) -> np.ndarray:
     counts = np.diff(first)
     rows = np.flatnonzero(counts)
     at = first[:-1][rows]
-    out[rows, 0] = np.add.reduceat(word, at) / counts[rows]
-    out[:, 3] = np.log1p(counts)
+    out[rows, 0] = np.add.reduceat(word, at)
+    out[:, 3] = counts
     for k in (1, 2):
         top = np.maximum.reduceat(word, at)
-        out[rows, k] = np.where(np.isfinite(top), top, 0.0)
+        out[rows, k] = top
         hit = np.flatnonzero(word == np.repeat(top, counts[rows]))
         own = np.searchsorted(first, hit, "right") - 1
         word[hit[np.unique(own, return_index=True)[1]]] = -np.inf
