@@ -13,10 +13,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     met = both.join(least, "a")
-    if large:
-        out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    if large:  # a row an edge, so repeats can wait for the small stars
+        return met.filter((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
@@ -28,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.materialize(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
     last = None
     while True:
-        now = common.materialize(_stars(_stars(now, True), False), "stars")
+        before, now = now, common.materialize(_stars(_stars(now, True), False), "stars")
+        common.discard(before)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
             break

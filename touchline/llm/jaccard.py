@@ -319,13 +319,15 @@ class Join:
         rows = self.texts.select("text").filter(F.col("text") != "").mapInArrow(_signatures(shipped), "sig long, k long")
         rows = rows.repartition(parts, "sig").sortWithinPartitions("sig", "k")
         met = common.materialize(rows.mapInArrow(_buckets, "sig long, lead long, k long").select("sig", "k"), "buckets")
-        sizes = met.groupBy("sig").agg(F.count("*").alias("n"))
-        company = met.join(common.materialize(sizes, "bucket-sizes"), "sig").groupBy("k").agg(F.sum("n").alias("w"))
-        company = common.materialize(company, "company")
+        sizes = common.materialize(met.groupBy("sig").agg(F.count("*").alias("n")), "bucket-sizes")
+        company = common.materialize(met.join(sizes, "sig").groupBy("k").agg(F.sum("n").alias("w")), "company")
+        common.discard(sizes)
         members = company.select("k").join(self.sets.select("k", "rk"), "k")
         texts = self.texts.select("rk", "text").join(members.hint("merge"), "rk").select("rk", "k", "text").mapInArrow(_one_text, "k long, text string")
         self.members = common.materialize(texts, "member-texts")
-        return common.materialize(met.join(company, "k").select("sig", "k", "w"), "ranked-buckets")
+        ranked = common.materialize(met.join(company, "k").select("sig", "k", "w"), "ranked-buckets")
+        common.discard(met, company)
+        return ranked
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) whose sets link."""
@@ -334,7 +336,9 @@ class Join:
         pairs = pairs.filter((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4))
         pairs = common.materialize(pairs.mapInArrow(_bounded, "a long, b long"), "pairs")
         met = pairs.join(self.members.toDF("b", "tb"), "b").join(self.members.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
-        return common.materialize(met.mapInArrow(_verify, "a long, b long"), "links")
+        links = common.materialize(met.mapInArrow(_verify, "a long, b long"), "links")
+        common.discard(pairs)
+        return links
 
     def first_pairs(self, buckets: DataFrame) -> DataFrame:
         """Every member of a bucket with its most central one."""
@@ -345,7 +349,10 @@ class Join:
         """(sig, k, w, label, lo) of the buckets that hold different components; lo is the smallest of them."""
         known = buckets.join(labels.toDF("k", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
         mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig", "lo")
-        return common.materialize(known.join(common.materialize(mixed, "mixed-buckets"), "sig").select("sig", "k", "w", "label", "lo"), "mixed")
+        mixed = common.materialize(mixed, "mixed-buckets")
+        made = common.materialize(known.join(mixed, "sig").select("sig", "k", "w", "label", "lo"), "mixed")
+        common.discard(mixed)
+        return made
 
     def next_pairs(self, mixed: DataFrame) -> DataFrame:
         """The most central member of every component in a bucket with that of the bucket."""
