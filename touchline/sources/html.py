@@ -8,13 +8,18 @@ over-header is "Unnamed: i_level_k"), body cells keep their text, blanks are nul
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The reader travels to executors by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
 FLAVOUR = "html.parser"
