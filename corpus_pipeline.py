@@ -1,7 +1,14 @@
 """The corpus pipeline: five operators, each on all its predecessor kept.
 
 quality classifier -> n-gram Jaccard join -> suffix-array dedup -> benchmark decontamination -> BPE.
-Every stage is written and read again; all but the last return the columns of documents.
+Every stage is written and read again; all but the last return the columns of documents, whatever other columns they
+have (names that start with `_touchline_` are the operators' own).
+
+Defined results: null and empty texts are scored like a text without words, are each their own component, have no bytes
+to remove and no tokens, and count as empty in the last stage; a null doc_id stays null and its row goes last in the choice of
+a component's row; repeated rows, and near copies, leave one row; of a text whose bytes all go, an empty text stays;
+very long texts are worked on whole; empty tables give no rows, and without labels every document is kept or
+dropped by the smoothed share of good labels. Ids of equal rows decide by the smallest row hash.
 """
 
 from __future__ import annotations
@@ -53,7 +60,7 @@ STAGES = [
     ("bpe_encoding", encode),
 ]
 
-#: Learned scores and merges are beyond SQL; tests hold run() against brute force.
+#: Learned scores and merges are beyond SQL; tests hold run() against plain versions of the stages, chained, given the scores.
 ORACLE_SQL = None
 
 
