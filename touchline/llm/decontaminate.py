@@ -5,9 +5,9 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 scanned in one pass without a shuffle: rolling window hashes are looked up in the sorted hash set
 and every hit is verified by comparing the words themselves.
 
-The test set is broadcast only in blocks of at most `block_chars` characters; a larger test set is
-scanned block after block, each pass adding to the spans found so far, so the result is the same at
-any size and memory stays bounded.
+The test set is broadcast only in blocks of at most about `block_chars` characters, as packed arrays (no more than half as
+many windows, of some 26 bytes each); a larger test set is scanned block after block, each pass adding to the
+spans found so far, so the result is the same at any size and memory stays bounded.
 
 Defined results: null or empty texts have no words; items without words never match; repeated items
 count once by their id's text (a null id reads "null"); repeated rows are scanned one by one; an
@@ -27,54 +27,53 @@ from touchline.llm import common
 from touchline.llm import textbytes as tb
 
 WINDOW = 10
-BLOCK_CHARS = 32 << 20
-
-
-def _windows(texts: list[str | None], ids: list[str], n: int) -> dict[bytes, set[str]]:
-    """Window (its words joined by one space) to the ids of the items that hold it."""
-    out: dict[bytes, set[str]] = {}
-    for text, item in zip(texts, ids, strict=True):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        starts, ends, _ = tb.words(raw, np.array([0, len(raw)]), tb.ALNUM)
-        low = tb.LOWER[raw].tobytes()
-        found = [low[a:b] for a, b in zip(starts, ends, strict=True)]
-        size = min(n, len(found))
-        for i in range(len(found) - size + 1 if size else 0):
-            out.setdefault(b" ".join(found[i : i + size]), set()).add(item)
-    return out
-
+BLOCK_CHARS = 8 << 20
 
-def _index(windows: dict[bytes, set[str]]) -> dict[int, np.ndarray]:
-    """By number of words: the sorted hashes of the windows."""
-    by: dict[int, list[int]] = {}
-    for w in windows:
-        raw = np.frombuffer(w, np.uint8)
-        starts, ends, _ = tb.words(raw, np.array([0, len(raw)]), tb.ALNUM)
-        by.setdefault(len(starts), []).append(int(tb.window_hashes(tb.word_hashes(raw, starts, ends), len(starts))[0]))
-    return {k: np.unique(np.array(v, np.uint64)) for k, v in by.items()}
 
+def _block(items: pa.Table, n: int) -> tuple:
+    """What is broadcast of a block of items (i, t), as arrays: (index, text, starts, ends, first, ids).
 
-def _scan_slice(buf, offs, index, windows):
-    """(words per row, {row: (covered words, items)}, starts, ends, first)."""
+    index: by number of words, the sorted hashes of the windows and the first word of each. text: all items in
+    lower case; starts, ends: of its words; first: first word of each item. About 26 bytes a window.
+    """
+    ids = items.column("i").to_pylist()
+    buf, offs = tb.raw_texts(items.column("t").combine_chunks())
+    starts, ends, first = tb.words(buf, offs, tb.ALNUM)
+    h, counts, index = tb.word_hashes(buf, starts, ends), np.diff(first), {}
+    for size in np.unique(np.minimum(counts, n)).tolist():
+        if size:
+            at = tb.window_starts(first, n) if size == n else first[:-1][counts == size]
+            got = tb.window_hashes(h, size)[at]
+            order = np.argsort(got, kind="stable")
+            index[size] = (got[order], at[order].astype(np.int32))
+    return index, tb.LOWER[buf].tobytes(), starts.astype(np.int32), ends.astype(np.int32), first, ids
+
+
+def _scan_slice(buf, offs, block):
+    """(words per row, {row: (covered words, items)}, starts, ends, first). Every hit of a hash is verified word by word."""
+    index, text, from_, to, items_first, ids = block
     starts, ends, first = tb.words(buf, offs, tb.ALNUM)
     h = tb.word_hashes(buf, starts, ends)
     hits: dict[int, tuple[set[int], set[str]]] = {}
     low = None
-    for size, hashes in index.items():
+    for size, (hashes, words) in index.items():
         at = tb.window_starts(first, size)
         if not len(at):
             continue
         got = tb.window_hashes(h, size)[at]
-        slot = np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)
-        for i in at[hashes[slot] == got]:
+        slot = np.searchsorted(hashes, got)
+        found = np.flatnonzero(hashes[np.minimum(slot, len(hashes) - 1)] == got)
+        for i, j in zip(at[found].tolist(), slot[found].tolist(), strict=True):
             if low is None:
                 low = tb.LOWER[buf].tobytes()
-            items = windows.get(b" ".join([low[a:b] for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True)]))
-            if items:
+            own = [low[a:b] for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True)]
+            stop = int(np.searchsorted(hashes, hashes[j], "right"))
+            same = [w for w in words[j:stop].tolist() if own == [text[a:b] for a, b in zip(from_[w : w + size], to[w : w + size], strict=True)]]
+            if same:
                 row = int(np.searchsorted(first, i, "right")) - 1
-                covered, found = hits.setdefault(row, (set(), set()))
-                covered.update(range(int(i), int(i) + size))
-                found |= items
+                covered, named = hits.setdefault(row, (set(), set()))
+                covered.update(range(i, i + size))
+                named.update(ids[k] for k in (np.searchsorted(items_first, same, "right") - 1).tolist())
     return np.diff(first), hits, starts, ends, first
 
 
@@ -107,9 +106,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW
     out = docs.select(*[docs[c] for c in rest], F.lit(0).alias(made[0]), F.expr(f"cast(array() as {_SPAN})").alias(made[1]), F.expr("cast(array() as array<string>)").alias(made[2]))
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
-        rows = part.collect()  # at most about block_chars characters
-        windows = _windows([r.t for r in rows], [r.i for r in rows], n)
-        shipped = spark.sparkContext.broadcast((_index(windows), windows))
+        shipped = spark.sparkContext.broadcast(_block(part.toArrow(), n))  # at most about block_chars characters
         fields = [f for f in out.schema.fields if blocks > b + 1 or f.name in keep or f.name in made]
         schema = type(out.schema)(fields)
         out = out.mapInArrow(_scanner(shipped, [f.name for f in fields], made, b > 0), schema)
@@ -118,12 +115,12 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW
 
 def _scanner(shipped, names, made, again):
     def scan(batches):
-        index, windows = shipped.value
+        block = shipped.value
         for batch in batches:
             n_words, hits, items = [], [], []
             old = [(x.as_py(), y.as_py()) for x, y in zip(batch.column(made[1]), batch.column(made[2]), strict=True)] if again else None
             for lo, hi, buf, offs in tb.slices(batch.column("text")):
-                counts, found, starts, ends, first = _scan_slice(buf, offs, index, windows)
+                counts, found, starts, ends, first = _scan_slice(buf, offs, block)
                 n_words.extend(counts.tolist())
                 for row in range(hi - lo):
                     covered, ids = found.get(row, (set(), set()))
