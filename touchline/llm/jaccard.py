@@ -10,14 +10,12 @@ sets link when 100 * |intersection| >= 80 * |union|; the result is the component
     does not depend on the input; the order only decides how long buckets are, never what is found).
  3. In every bucket of sets that share such a shingle, all are compared with the most central
     one (that with most company in all its buckets: among copies of one text, mostly the text itself).
-    Where components still meet in a bucket, their most central members are compared in the same way.
     What is connected by then needs no further comparison.
  4. Buckets that still hold different components are gathered by the smallest of their components,
     so that a pair is met about once. The count vectors of such a group form an R-tree, whose boxes
     (and points) bound the intersection by the sum of the smaller coordinates; pairs of different
     components that survive the bound are compared exactly. Members of the component that most of the
-    group belongs to are not searched against each other. Groups of more than `BLOCK` sets are searched
-    in pairs of blocks.
+    group belongs to are not searched against each other. Large groups are searched in pairs of blocks.
  5. Components by alternating stars over all links.
 
 Defined results: null and empty texts, and texts without words, have empty sets and are their own
@@ -41,10 +39,10 @@ from touchline.llm.components import components
 
 SHINGLE = 5
 GROUPS = 256
-ROUNDS = 3
 CELLS = 1 << 21
 _CHUNK = 1 << 15
-BLOCK = 4096
+#: A group of c sets is searched in blocks of 32 * sqrt(c) sets, between these bounds: larger groups in larger blocks, so that fewer rows are repeated.
+BLOCK_LEAST, BLOCK_MOST = 4096, 16384
 LEAF = 32
 
 
@@ -323,7 +321,8 @@ class Join:
         company = common.materialize(met.join(sizes, "sig").groupBy("k").agg(F.sum("n").alias("w")), "company")
         common.discard(sizes)
         members = company.select("k").join(self.sets.select("k", "rk"), "k")
-        texts = self.texts.select("rk", "text").join(members.hint("merge"), "rk").select("rk", "k", "text").mapInArrow(_one_text, "k long, text string")
+        members = common.materialize(members, "members")
+        texts = self.texts.select("rk", "text").filter(common.sieve(members, "rk")("rk")).join(members.hint("merge"), "rk").select("rk", "k", "text").mapInArrow(_one_text, "k long, text string")
         self.members = common.materialize(texts, "member-texts")
         ranked = common.materialize(met.join(company, "k").select("sig", "k", "w"), "ranked-buckets")
         common.discard(met, company)
@@ -335,7 +334,8 @@ class Join:
         pairs = pairs.join(own.toDF("a", "na", "cva"), "a").join(own.toDF("b", "nb", "cvb"), "b")
         pairs = pairs.filter((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4))
         pairs = common.materialize(pairs.mapInArrow(_bounded, "a long, b long"), "pairs")
-        met = pairs.join(self.members.toDF("b", "tb"), "b").join(self.members.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
+        side = lambda c: self.members.filter(common.sieve(pairs.select(c).distinct(), c)("k")).toDF(c, f"t{c}")
+        met = pairs.join(side("b"), "b").join(side("a").hint("merge"), "a").select("a", "b", "ta", "tb")
         links = common.materialize(met.mapInArrow(_verify, "a long, b long"), "links")
         common.discard(pairs)
         return links
@@ -354,16 +354,10 @@ class Join:
         common.discard(mixed)
         return made
 
-    def next_pairs(self, mixed: DataFrame) -> DataFrame:
-        """The most central member of every component in a bucket with that of the bucket."""
-        reps = mixed.groupBy("sig", "label").agg(F.max(F.struct("w", "k")).alias("rep"))
-        lead = reps.groupBy("sig").agg(F.max("rep")["k"].alias("a"))
-        return reps.join(lead, "sig").select("a", F.col("rep.k").alias("b")).filter("a <> b").distinct()
-
     def rest(self, mixed: DataFrame) -> DataFrame:
         """Pairs of different components that share a bucket and pass the bound."""
         members = common.materialize(mixed.select("lo", "k", "label").distinct(), "rest-members")
-        sizes = members.groupBy("lo").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).select("lo", "blocks")
+        sizes = members.groupBy("lo").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), 32 * F.sqrt("c")))).cast("int")).select("lo", "blocks")
         rows = members.join(common.materialize(sizes, "rest-sizes"), "lo").join(self.sets.select("k", "n", "cv"), "k")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
@@ -374,15 +368,7 @@ class Join:
         """(node, label) of every set that links with another."""
         buckets = self.buckets()
         found = self._joined(None, self.linked(self.first_pairs(buckets)))
-        for _ in range(ROUNDS - 1):
-            mixed = self._mixed(buckets, found)
-            more = self.linked(self.next_pairs(mixed))
-            if more.isEmpty():
-                break
-            found = self._joined(found, more)
-        else:
-            mixed = self._mixed(buckets, found)
-        return self._joined(found, self.linked(self.rest(mixed)))
+        return self._joined(found, self.linked(self.rest(self._mixed(buckets, found))))
 
     def _joined(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """Components of the links so far: what is known enters as stars, so few rounds are left to do."""
