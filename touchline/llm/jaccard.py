@@ -320,10 +320,6 @@ class Join:
         sizes = common.materialize(met.groupBy("sig").agg(F.count("*").alias("n")), "bucket-sizes")
         company = common.materialize(met.join(sizes, "sig").groupBy("k").agg(F.sum("n").alias("w")), "company")
         common.discard(sizes)
-        members = company.select("k").join(self.sets.select("k", "rk"), "k")
-        members = common.materialize(members, "members")
-        texts = self.texts.select("rk", "text").filter(common.sieve(members, "rk")("rk")).join(members.hint("merge"), "rk").select("rk", "k", "text").mapInArrow(_one_text, "k long, text string")
-        self.members = common.materialize(texts, "member-texts")
         ranked = common.materialize(met.join(company, "k").select("sig", "k", "w"), "ranked-buckets")
         common.discard(met, company)
         return ranked
@@ -334,10 +330,14 @@ class Join:
         pairs = pairs.join(own.toDF("a", "na", "cva"), "a").join(own.toDF("b", "nb", "cvb"), "b")
         pairs = pairs.filter((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4))
         pairs = common.materialize(pairs.mapInArrow(_bounded, "a long, b long"), "pairs")
-        side = lambda c: self.members.filter(common.sieve(pairs.select(c).distinct(), c)("k")).toDF(c, f"t{c}")
-        met = pairs.join(side("b"), "b").join(side("a").hint("merge"), "a").select("a", "b", "ta", "tb")
-        links = common.materialize(met.mapInArrow(_verify, "a long, b long"), "links")
-        common.discard(pairs)
+        # only texts that the bound left to compare are moved
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        asked = common.materialize(asked.join(self.sets.select("k", "rk"), "k"), "compared")
+        texts = self.texts.select("rk", "text").filter(common.sieve(asked, "rk")("rk")).join(asked.hint("merge"), "rk")
+        texts = common.materialize(texts.select("rk", "k", "text").mapInArrow(_one_text, "k long, text string"), "compared-texts")
+        met = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
+        links = common.materialize(met.mapInArrow(_verify, "a long, b long").distinct(), "links")
+        common.discard(pairs, asked, texts)
         return links
 
     def first_pairs(self, buckets: DataFrame) -> DataFrame:
