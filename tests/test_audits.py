@@ -124,3 +124,22 @@ def test_positions_within_groups_put_nulls_last(spark):
     df = spark.createDataFrame([(1, None, 5), (1, 3, 4), (1, 3, 2), (2, 1, 1), (None, 2, 7), (None, 1, 9)], "g int, a int, b int")
     got = {(r.g, r.b): r.position for r in leakage.numbered(df, ["a"], ["b"], ["g"]).collect()}
     assert got == {(1, 2): 0, (1, 4): 1, (1, 5): 2, (2, 1): 0, (None, 9): 0, (None, 7): 1}
+
+
+def test_final_tables_names_and_scores_within_text(spark, tmp_path):
+    from touchline.functions import parse
+    from touchline.sources import sinks
+
+    rows = [("22", "b.xls", "Overall", 0, " A ", "3.0", "x"), ("22", "b.xls", "Overall", 1, "A", "4", "7"), ("22", "b.xls", "Overall", 2, None, "9", "9"), ("22", "c.xls", "Overall", 0, "A", "1", "1"), ("22", "a.xls", "Standard", 0, "A", "0", "0"), ("23", "a.xls", "Overall", 0, "B", "-2.7", "inf")]
+    df = spark.createDataFrame(rows, "season string, name string, kind string, row_no int, team string, Pts string, GF string")
+    got = html.final_tables(df, ["Pts", "GF", "Rk"])
+    assert {tuple(r) for r in got.collect()} == {("22", "b.xls", "A", 4, 7, None), ("23", "a.xls", "B", -2, None, None)}
+    assert {r.stem for r in html.stems(df).collect()} == {"a", "b", "c"}
+    assert html.register({" PL 22 Overall ": got, "PL-22 overall": got}) == {"PL 22 Overall": "pl_22_overall", "PL-22 overall": "pl_22_overall_"}
+    assert spark.table("pl_22_overall").count() == 2
+    texts = ["won 3 – 1 at home", "2â€“0 (aet)", "4—4", "no score", None, "10-2-1"]
+    scores = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse.parse_score_within(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [None if r.s is None else tuple(r.s) for r in scores] == [(3, 1), (2, 0), (4, 4), None, None, (10, 2)]
+    sinks.write_curated(got, str(tmp_path / "curated"))
+    back = spark.read.parquet(str(tmp_path / "curated"))
+    assert back.count() == 2 and (tmp_path / "curated" / "season=22").is_dir() and set(back.columns) == set(got.columns)

@@ -20,6 +20,12 @@ def strict_int(x: Column) -> Column:
     return F.when(value == F.floor(value), value.cast("bigint"))
 
 
+def tolerant_int(x: Column) -> Column:
+    """A number's whole part, or null where the text is no finite number."""
+    value = _clean_text(x).try_cast("double")
+    return F.when(F.abs(value) < float("inf"), F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("bigint"))
+
+
 def try_number(x: Column) -> Column:
     """A number, or null where the text is none (NaN too)."""
     value = F.regexp_replace(_clean_text(x), ",", "").try_cast("double")
@@ -65,6 +71,12 @@ def parse_score_anchored(score: Column) -> Column:
     return _extract(text, r"^\s*(\d+)\s*-\s*(\d+)\s*$")
 
 
+def parse_score_within(score: Column) -> Column:
+    """A score anywhere in the text, once dashes (mangled ones too) are made hyphens."""
+    text = F.translate(F.replace(score.cast("string"), F.lit("â€“"), F.lit("-")), "–—", "--")
+    return _extract(text, r"(\d+)\s*-\s*(\d+)")
+
+
 def parse_score_split(score: Column) -> Column:
     """Cut at hyphens (dashes made hyphens); both first parts read as numbers where they are."""
     parts = F.split(F.translate(score.cast("string"), "–—", "--"), "-")

@@ -195,6 +195,39 @@ def files(spark: SparkSession, folder: str, pattern: str | tuple[str, ...] = "*.
     return wanted.select("path", "name", F.regexp_extract("path", r"(\d{4}-\d{4})", 1).alias("season"), "length", "content")
 
 
+def stems(found: DataFrame, name: str = "name") -> DataFrame:
+    """found with `stem`: the file's name without its extension, trimmed; the name under which a table is known."""
+    return found.withColumn("stem", F.trim(F.regexp_replace(name, r"\.[^.]*$", "")))
+
+
+def register(tables: dict[str, DataFrame]) -> dict[str, str]:
+    """Makes every table a temporary view under a name that SQL takes; returns the views' names by stem."""
+    views: dict[str, str] = {}
+    for stem, table in tables.items():
+        view = re.sub(r"\W+", "_", stem.strip().lower()).strip("_") or "table"
+        while view in views.values():
+            view += "_"
+        table.createOrReplaceTempView(view)
+        views[stem.strip()] = view
+    return views
+
+
+def final_tables(rows: DataFrame, metrics: list[str], group: str = "season", name: str = "name", kind: str = "kind", team: str = "team", position: str = "row_no") -> DataFrame:
+    """(group, name, team, metrics): each group's final table, the first file by name that was classified as Overall.
+
+    rows: the body rows of all files as text. Metrics are whole parts of numbers, null where there is none or rows lack the
+    column; rows without a team go; of a team's several rows the last one counts.
+    """
+    from touchline.functions.parse import tolerant_int
+
+    overall = rows.filter((F.col(kind) == "Overall") & F.col(team).isNotNull())
+    first = overall.groupBy(group).agg(F.min(name).alias("_first"))
+    chosen = overall.join(first, group).filter(F.col(name) == F.col("_first"))
+    values = [(tolerant_int(F.col(m)) if m in rows.columns else F.lit(None).cast("bigint")).alias(m) for m in metrics]
+    last = chosen.groupBy(group, name, F.trim(team).alias(team)).agg(F.max_by(F.struct(*values), position).alias("_row"))
+    return last.select(group, name, team, *[F.col(f"_row.{m}").alias(m) for m in metrics])
+
+
 def largest_tables(found: DataFrame, key: str) -> DataFrame:
     """(key, table_no, n_rows, n_cols): the table with most cells, the first of equals."""
     shapes = found.select(key, "table_no", "n_rows", "n_cols").distinct()
