@@ -19,6 +19,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
+def nearby(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node within two edges, for every node of an edge (a, b).
+
+    Nodes of one label are connected, and a star has one label; it takes two rounds, however long chains are.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = common.materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "nearest")
+    return both.join(least.toDF("b", "m"), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of its component, for every node of an edge (a, b).
 

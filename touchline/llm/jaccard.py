@@ -10,7 +10,7 @@ sets link when 100 * |intersection| >= 80 * |union|; the result is the component
     does not depend on the input; the order only decides how long buckets are, never what is found).
  3. In every bucket of sets that share such a shingle, all are compared with the most central
     one (that with most company in all its buckets: among copies of one text, mostly the text itself).
-    What is connected by then needs no further comparison.
+    What is connected by then, within two links, needs no further comparison.
  4. Buckets that still hold different components are gathered by the smallest of their components,
     so that a pair is met about once. The count vectors of such a group form an R-tree, whose boxes
     (and points) bound the intersection by the sum of the smaller coordinates; pairs of different
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import common
 from touchline.llm import textbytes as tb
-from touchline.llm.components import components
+from touchline.llm.components import components, nearby
 
 SHINGLE = 5
 GROUPS = 256
@@ -367,16 +367,10 @@ class Join:
     def labels(self) -> DataFrame:
         """(node, label) of every set that links with another."""
         buckets = self.buckets()
-        found = self._joined(None, self.linked(self.first_pairs(buckets)))
-        return self._joined(found, self.linked(self.rest(self._mixed(buckets, found))))
-
-    def _joined(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
-        """Components of the links so far: what is known enters as stars, so few rounds are left to do."""
-        if labels is not None:
-            if links.isEmpty():
-                return labels
-            links = links.union(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-        return common.materialize(components(links), "labels")
+        links = self.linked(self.first_pairs(buckets))
+        known = common.materialize(nearby(links), "nearby")
+        rest = self.linked(self.rest(self._mixed(buckets, known)))
+        return common.materialize(components(links.union(rest)), "labels")
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""

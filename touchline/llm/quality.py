@@ -17,6 +17,8 @@ every score is the smoothed share of good labels; repeated rows are scored one b
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,8 +139,8 @@ def _inputs_rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(labels[lo:hi], pa.int32()),
-                    pa.array([col[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                    pa.array([val[a:b].astype(np.float32).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([zlib.compress(np.diff(col[a:b], prepend=0).astype(np.int32).tobytes(), 1) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([zlib.compress(val[a:b].astype(np.float32).tobytes(), 1) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 ],
                 names=["quality", "col", "val"],
             )
@@ -175,7 +177,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], name: str = "scor
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
         return docs.select(*[docs[c] for c in keep], F.lit(float(share)).alias(name))
-    rows = [(np.frombuffer(c.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32).astype(float)) for c, v in zip(got.column("col"), got.column("val"), strict=True)]
+    unpack = lambda x, kind: np.frombuffer(zlib.decompress(x.as_py()), kind)
+    rows = [(np.cumsum(unpack(c, np.int32)).astype(np.int32), unpack(v, np.float32).astype(float)) for c, v in zip(got.column("col"), got.column("val"), strict=True)]
     order = np.lexsort((y, [len(c) for c, _ in rows], [float(v.sum()) for _, v in rows]))  # whatever order the rows came in
     w0, w, v = fit([rows[i] for i in order], y[order])
     shipped = spark.sparkContext.broadcast((w0, w.astype(np.float32), v.astype(np.float32)))
