@@ -90,12 +90,13 @@ def _runs(covered: list[int]) -> list[tuple[int, int]]:
 _SPAN = "array<struct<first:int,last:int,from:int,to:int>>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW, block_chars: int = BLOCK_CHARS, prefix: str = "") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW, block_chars: int = BLOCK_CHARS, prefix: str = "", then=None) -> DataFrame:
     """The columns `keep` (which may name text), n_words, hits and items of every row of docs.
 
     hits: maximal runs of hit words, as word numbers [first, last) and byte offsets [from, to) of
     the text. items: ids, as text, of the benchmark items with an occurring window. prefix: put before
-    these three names, where the table has such columns of its own.
+    these three names, where the table has such columns of its own. then: (function of batches, schema) that takes the
+    result further in the same Python worker.
     """
     made = [f"{prefix}{c}" for c in ("n_words", "hits", "items")]
     spark = docs.sparkSession
@@ -109,10 +110,20 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW
         shipped = spark.sparkContext.broadcast(_block(part.toArrow(), n))  # at most about block_chars characters
         fields = [f for f in out.schema.fields if blocks > b + 1 or f.name in keep or f.name in made]
         schema = type(out.schema)(fields)
-        out = out.mapInArrow(_scanner(shipped, [f.name for f in fields], made, b > 0), schema)
+        run = _scanner(shipped, [f.name for f in fields], made, b > 0)
+        if then and blocks == b + 1:
+            run, schema = _chained(run, then[0]), then[1]
+        out = out.mapInArrow(run, schema)
     return out
 
 
+def _chained(first, second):
+    def run(batches):
+        yield from second(first(batches))
+
+    return run
+
+
 def _scanner(shipped, names, made, again):
     def scan(batches):
         block = shipped.value
@@ -173,10 +184,10 @@ def _cut(names: list[str]):
 
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans") -> DataFrame:
     """docs without the hit spans (mode "spans") or without the contaminated rows ("documents")."""
-    found = find(docs, benchmark, docs.columns, prefix=common.OWN)
     if mode == "documents":
+        found = find(docs, benchmark, docs.columns, prefix=common.OWN)
         return found.filter(F.size(f"{common.OWN}hits") == 0).select(*docs.columns)
-    cut = found.mapInArrow(_cut(docs.columns), docs.schema)
+    cut = find(docs, benchmark, docs.columns, prefix=common.OWN, then=(_cut(docs.columns), docs.schema))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
