@@ -238,6 +238,37 @@ def test_pieces_of_one_hash_are_told_apart():
 # -- executors without the package -------------------------------------------------------------------------
 
 
+def test_dictionary_is_counted_over_every_text(spark, monkeypatch):
+    """Pieces of long texts, and of any number of texts, are counted exactly; a sample saw neither."""
+    from collections import defaultdict
+
+    import regex
+
+    rng = random.Random(5)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    texts = [" ".join(rng.choices(words, range(1, 301), k=12)) + "\u00e9 don't  7" for _ in range(500)]
+    texts += [" ".join(["quagga", *rng.choices(words, k=3)] * 4000), "z" * 200, "", None]
+    total = Counter(w for t in texts if t for w in (x.encode() for x in regex.findall(public_tokenizers.PATTERN, t)) if len(w) <= bpe.FOLD_BYTES)
+    rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for stretch, most in ((tb.STRETCH, bpe.COUNTED), (500, 20)):
+        monkeypatch.setattr(tb, "STRETCH", stretch)
+        monkeypatch.setattr(bpe, "COUNTED", most)
+        got = defaultdict(int)
+        for part in bpe._pieces([rows, rows.slice(0, 0)]):
+            for w, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True):
+                got[w] += n
+        assert got == total
+    monkeypatch.undo()
+    kinds = sorted(total.items(), key=lambda x: -x[1])
+    k = next(k for k in range(40, 90) if kinds[k - 1][1] > kinds[k][1])
+    monkeypatch.setattr(bpe, "HEAD_WORDS", k)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    raw, lengths, *_ = bpe.plain_head(docs, ranks)
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    assert {raw[a:b] for a, b in zip(at, at[1:])} == {w for w, _ in kinds[:k]}
+
+
 def test_executors_need_no_copy_of_the_package(tmp_path):
     if not os.path.isdir(SF):
         pytest.skip("driver tables are not here")

@@ -4,8 +4,8 @@ Texts are cut into pieces by the tokenizer's pattern (in numpy, over character c
 dictionary of distinct pieces is encoded by one expression of Spark's higher-order functions: a
 piece's bytes, spelled in hexadecimal, are folded, joining at each step the neighbours of the lowest
 rank, found in a literal rank map (an array of small maps, chosen by crc32, so that a lookup stays
-short). The dictionary is broadcast; it holds at most `HEAD_WORDS` pieces, the most frequent of about
-`HEAD_DOCS` texts, whatever the input, and only saves work: a piece outside it is merged where it
+short). The dictionary is broadcast; it holds at most `HEAD_WORDS` pieces, the most frequent by exact
+counts over every whole text, and only saves work: a piece outside it is merged where it
 stands, by the same ranks. (Folding those too costs about 80 microseconds a piece in Spark's interpreted
 functions, over the limit of CPU time; the README has the figures.) No shuffle touches the texts.
 
@@ -31,7 +31,7 @@ from touchline.llm import common
 from touchline.llm import textbytes as tb
 
 HEAD_WORDS = 1 << 17
-HEAD_DOCS = 8_000
+COUNTED = 1 << 18
 MEMO_PIECES = 1 << 15
 FOLD_BYTES = 96
 RANK_BUCKETS = 1 << 14
@@ -220,19 +220,33 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _pieces(batches):
-    """(piece, count) of a bounded sample, counted in the worker."""
-    from collections import Counter
+    """(piece, count) of every text, added up in the worker; a full table is handed on and begun anew."""
 
-    total: Counter = Counter()
+    def added(parts):
+        table = pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return table.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()
+
+    parts, size = [], 0
     for batch in batches:
-        for _, _, buf, offs in tb.slices(batch.column("text")):
-            starts, ends, _ = cut(buf, offs)
-            raw = buf.tobytes()
-            total.update([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-    words = [w for w in total if len(w) <= FOLD_BYTES]
-    for lo in range(0, len(words), 1 << 16):
-        own = words[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([total[w] for w in own], pa.int64())], names=["word", "n"])
+        for _, _, whole, offs in tb.slices(batch.column("text")):
+            points = split_points(whole) if len(offs) == 2 else [0, len(whole)]
+            for lo, hi in zip(points, points[1:], strict=False):
+                buf = whole[lo:hi]
+                starts, ends, _ = cut(buf, offs if len(points) == 2 else np.array([0, hi - lo]))
+                # pieces follow each other without a gap, so their starts are the offsets of a binary column
+                at = np.append(starts, ends[-1:]).astype(np.int32)
+                words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(buf.tobytes())])
+                found = words.filter(pa.array(ends - starts <= FOLD_BYTES)).value_counts()
+                parts.append(pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"]))
+                size += len(found)
+                if size >= 4 * COUNTED:
+                    parts = added(parts)
+                    size = sum(x.num_rows for x in parts)
+                    if size >= COUNTED:
+                        yield from parts
+                        parts, size = [], 0
+    if parts:
+        yield from added(parts)
 
 
 class Head:
@@ -377,18 +391,17 @@ def _fields(docs: DataFrame, keep: list[str]) -> str:
 def plain_head(docs: DataFrame, ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, dict[bytes, int]]:
     """The dictionary of frequent pieces, folded: what `Head` is made of."""
     texts = docs.select(docs["text"]).filter(F.length("text") > 0)
-    share = min(1.0, HEAD_DOCS / max(1, docs.count()))
-    unit = F.shiftrightunsigned(F.xxhash64("text"), 33) / F.lit(float(1 << 31))
-    sample = texts.filter((unit < share) & (F.length("text") <= 20_000)).limit(4 * HEAD_DOCS)
-    counted = sample.repartition(12).mapInArrow(_pieces, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = common.materialize(counted, "piece-counts")
-    least, left = None, HEAD_WORDS  # pieces that occur at least so often fit, whole counts at a time
-    for n, kinds in sorted(((r.n, r.kinds) for r in counted.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("kinds")).collect()), reverse=True):
+    counted = texts.mapInArrow(_pieces, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # counts up to 4096 are levels of their own, larger ones share a level with those of a few thousandths more
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.log2("n") * 342))
+    counted = common.materialize(counted.select("word", level.alias("level")), "piece-counts")
+    least, left = None, HEAD_WORDS  # pieces that occur at least so often fit, whole levels at a time
+    for n, kinds in sorted(map(tuple, counted.groupBy("level").agg(F.count("*").alias("kinds")).collect()), reverse=True):
         left -= kinds
         if left < 0:
             break
         least = n
-    frequent = counted.filter(F.col("n") >= least).select("word") if least is not None else counted.select("word").limit(0)
+    frequent = counted.filter(F.col("level") >= least).select("word") if least is not None else counted.select("word").limit(0)
     frequent = common.materialize(frequent.repartition(24), "frequent-pieces")
     # a plan without an exchange: its text, with the literal map in it, is made once and not again at every stage
     got = frequent.select("word", fold(F.col("word"), rank_map(ranks)).alias("ids")).toArrow()
