@@ -238,6 +238,18 @@ def test_pieces_of_one_hash_are_told_apart():
 # -- executors without the package -------------------------------------------------------------------------
 
 
+def test_written_tables_leave_no_garbage_on_the_driver(spark, monkeypatch):
+    """What nothing holds any more is collected when a table is written, once there is enough of it."""
+    monkeypatch.setattr(common, "HEAP_SHARE", 0)
+    monkeypatch.setitem(common._collected, "used", 0)
+    lang = spark._jvm.java.lang
+    thing = lang.Object()
+    seen = lang.ref.WeakReference(thing)
+    del thing
+    common.materialize(spark.range(3), "three")
+    assert seen.get() is None and common._collected["used"] > 0
+
+
 def test_dictionary_is_counted_over_every_text(spark, monkeypatch):
     """Pieces of long texts, and of any number of texts, are counted exactly; a sample saw neither."""
     from collections import defaultdict
